@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import linkrank, mixing, simhash, substring_dedup
+from parlance.llm import bpe_codec, bpe_count, linkrank, mixing, simhash, substring_dedup
 from parlance.runtime import read_table
 
 
@@ -19,17 +19,26 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkrank.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.encode_decode(read_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_count.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.cluster(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_source_mix": op1_source_mix, "op2_url_filter": op2_url_filter, "op5_substring_dedup": op5_substring_dedup, "op8_simhash_dedup": op8_simhash_dedup}
+    found = [op1_source_mix, op2_url_filter, op3_bpe_codec, op5_substring_dedup, op6_token_count, op8_simhash_dedup]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
