@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe_codec, bpe_count, langmix, linkrank, mixing, simhash, substring_dedup, toxicity
+from parlance.llm import bpe_codec, bpe_count, host_rules, langmix, linkrank, mixing, ogg, simhash, substring_dedup, toxicity
 from parlance.runtime import read_table
 
 
@@ -48,8 +48,16 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
 
 
+def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.media_columns(read_table(spark, sf_dir, "documents"))
+
+
+def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(read_table(spark, sf_dir, "documents")).drop("host")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_source_mix, op2_url_filter, op3_bpe_codec, op4_language_mixture, op5_substring_dedup, op6_token_count, op7_toxicity, op8_simhash_dedup]
+    found = [op1_source_mix, op2_url_filter, op3_bpe_codec, op4_language_mixture, op5_substring_dedup, op6_token_count, op7_toxicity, op8_simhash_dedup, op9_ogg_media, op10_host_rules]
     return {f.__name__: f for f in found}
 
 
