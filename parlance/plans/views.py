@@ -62,7 +62,7 @@ def expand(sql: str, dialect: str, sf_dir: str = "") -> str:
             return f"parquet.`{sf_dir}/{name}.parquet`" if dialect == "spark" else name
         raise KeyError(name)
 
-    return re.sub(r"\{(\w+)\}", put, sql)
+    return re.sub(r"(?<!\\p)\{(\w+)\}", put, sql)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
