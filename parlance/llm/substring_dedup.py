@@ -132,7 +132,9 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
     scanned = materialize(source.mapInArrow(scan, "doc_id long, tie long, n_words long, sha string, anchors array<bigint>"), "repeat-anchors")
-    first = scanned.filter(f"n_words >= {LENGTH}").groupBy("sha").agg(F.min("doc_id").alias("first_id"))
+    # written first, so that the join's sides are dealt anew and a large group of copies can be split over tasks
+    first = scanned.filter(f"n_words >= {LENGTH}").groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("b")).filter("first_id < b").drop("b")
+    first = materialize(first, "repeat-copies")
     rows = materialize(scanned.select("doc_id", "tie", "n_words", "sha").join(first, "sha", "left").withColumn("whole", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))).drop("first_id"), "repeat-rows")
 
     own = scanned.filter("doc_id IS NOT NULL AND size(anchors) > 0").select("doc_id", "sha", "anchors").join(rows.filter("NOT whole AND doc_id IS NOT NULL").select("doc_id", "sha").distinct(), ["doc_id", "sha"])
