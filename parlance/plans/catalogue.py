@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.plans import timeline
+from parlance.plans import states, tables, texts, timeline, vectors
 
-MODULES = (timeline,)
+MODULES = (timeline, tables, vectors, texts, states)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
