@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe_codec, bpe_count, host_rules, langmix, linkrank, mixing, ogg, simhash, substring_dedup, toxicity
+from parlance.llm import bpe_codec, bpe_count, host_rules, langmix, linkrank, mixing, ogg, oracles, simhash, substring_dedup, toxicity
 from parlance.runtime import read_table
 
 
@@ -53,7 +53,7 @@ def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.judge(read_table(spark, sf_dir, "documents")).drop("host")
+    return host_rules.judge(read_table(spark, sf_dir, "documents")).drop("host", "host_rate")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.ORACLES
