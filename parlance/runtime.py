@@ -70,3 +70,8 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; parquet carries the schema, so nothing is inferred from rows."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df as one struct column _row, so that helper columns beside it cannot clash with its own; select("_row.*") undoes it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
