@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import textops
-from parlance.runtime import ship
+from parlance.runtime import packed, ship
 
 #: Texts per language that are learnt from, buckets of n-grams, length of the n-grams.
 SAMPLE, BUCKETS, GRAM = 2000, 1 << 16, 4
@@ -191,5 +191,5 @@ def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of docs (doc_id, text, lang, ...) whose language is known: predicted, and at least `least` of the text."""
     known = predict(docs, learn(docs.filter(~held_out(F.col("doc_id"))))).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     known = known.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).dropDuplicates()
-    x = docs.withColumn("_t", F.xxhash64("text"))
-    return x.join(known, x["doc_id"].eqNullSafe(known["_id"]) & (x["_t"] == known["_tie"]), "left_semi").select(*docs.columns)
+    x = packed(docs).withColumn("_t", F.xxhash64("_row.text"))
+    return x.join(known, F.col("_row.doc_id").eqNullSafe(known["_id"]) & (x["_t"] == known["_tie"]), "left_semi").select("_row.*")

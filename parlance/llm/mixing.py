@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.runtime import materialize, small_or_shuffled
+from parlance.runtime import materialize, packed, small_or_shuffled
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -154,14 +154,14 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     """
     plan = mix(docs, **how).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "repeats", "span1", "span2", "taken")
     plan = plan.filter("taken > 0").groupBy("_id", "_tie").agg(F.min(F.struct("repeats", "span1", "span2")).alias("_p")).select("_id", "_tie", "_p.*")
-    x = docs.withColumn("_t", F.xxhash64(F.col("text")))
-    x = x.join(plan, x["doc_id"].eqNullSafe(plan["_id"]) & (x["_t"] == plan["_tie"]))
+    x = packed(docs).withColumn("_t", F.xxhash64("_row.text"))
+    x = x.join(plan, F.col("_row.doc_id").eqNullSafe(plan["_id"]) & (x["_t"] == plan["_tie"]))
     whole = F.expr("CASE WHEN repeats > 0 THEN transform(sequence(1, repeats), i -> struct(cast(-1 as bigint) AS start, cast(0 as bigint) AS length)) ELSE array() END")
     parts = F.filter(F.concat(whole, F.array("span1", "span2")), lambda p: (p["start"] < 0) | (p["length"] > 0))
-    x = x.withColumn("_part", F.explode(parts))
-    words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(1))
+    x = x.select("_row", F.explode(parts).alias("_part"))
+    words = F.regexp_extract_all(F.col("_row.text"), F.lit(f"({WORD})"), F.lit(1))
     cut = F.array_join(F.slice(words, F.greatest(F.col("_part.start") + 1, F.lit(1)).cast("int"), F.col("_part.length").cast("int")), " ")
-    x = x.withColumn("text", F.when(F.col("_part.start") < 0, F.col("text")).otherwise(cut))
+    x = x.select(F.col("_row").withField("text", F.when(F.col("_part.start") < 0, F.col("_row.text")).otherwise(cut)).alias("_row"))
     if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return x.select(*docs.columns)
+        x = x.select(F.col("_row").withField("n_chars", F.length("_row.text").cast(docs.schema["n_chars"].dataType)).alias("_row"))
+    return x.select("_row.*")

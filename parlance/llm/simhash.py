@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm import textops
-from parlance.runtime import materialize, ship
+from parlance.runtime import materialize, packed, ship
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: (first bit, bits) of the segments: more than MAX_BITS / 2 of them, so that one differs in at most one bit.
@@ -188,6 +188,6 @@ def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     another row of their component stays, else all but one go.
     """
     keep = cluster(docs, max_bits).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    x = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return x.withColumn("_r", rank).filter("_r = 1").select(*docs.columns)
+    x = packed(docs).join(keep, F.col("_row.doc_id").eqNullSafe(F.col("_id")))
+    rank = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("_row.text")))
+    return x.withColumn("_r", rank).filter("_r = 1").select("_row.*")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import textops
-from parlance.runtime import materialize, ship
+from parlance.runtime import materialize, packed, ship
 
 #: Words of a window, and of a gram that can be its anchor.
 LENGTH, SEED = 50, 25
@@ -173,9 +173,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows, cuts = repeats(docs)
     change = rows.filter("whole").select("doc_id", "tie", F.lit(None).cast("string").alias("kept_text")).unionByName(cuts.select("doc_id", "tie", "kept_text"))
     change = change.dropDuplicates(["doc_id", "tie"]).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("kept_text").alias("_kept"), F.lit(True).alias("_cut"))
-    x = docs.withColumn("_t", F.xxhash64("text"))
-    x = x.join(change, (x["doc_id"] == change["_id"]) & (x["_t"] == change["_tie"]), "left").filter("_cut IS NULL OR length(_kept) > 0")
-    x = x.withColumn("text", F.when(F.col("_cut"), F.col("_kept")).otherwise(F.col("text")))
+    x = packed(docs).withColumn("_t", F.xxhash64("_row.text"))
+    x = x.join(change, (F.col("_row.doc_id") == change["_id"]) & (x["_t"] == change["_tie"]), "left").filter("_cut IS NULL OR length(_kept) > 0")
+    x = x.select("_cut", F.col("_row").withField("text", F.when(F.col("_cut"), F.col("_kept")).otherwise(F.col("_row.text"))).alias("_row"))
     if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return x.select(*docs.columns)
+        chars = F.when(F.col("_cut"), F.length("_row.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+        x = x.select(F.col("_row").withField("n_chars", chars).alias("_row"))
+    return x.select("_row.*")
