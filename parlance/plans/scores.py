@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.functions import labels
-from parlance.operators import joins, names, scoring, voices
+from parlance.functions import labels, text
+from parlance.operators import frames, joins, names, scoring, voices
 from parlance.operators.matching import match_groups
 from parlance.plans import timeline, vectors
 from parlance.plans.views import duckdb, load
@@ -193,13 +193,57 @@ def speaker_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("session_id").agg(F.sum("ms").alias("total")).join(paired, "session_id")
 
 
-QUERIES = [speaker_score_collar, turns_captured, annotated_overlaps, speaker_at_latest, hint_during, meeting_titles, pick_window, provisional_labels, first_and_final_labels, change_points, profiles_in_use, match_profiles, script_validation, clean_read_names, rename_lines, session_versions, swap_if_unchanged, label_changes, replay_revisions, quiet_for, tiles_picked, spot_check, speaker_agreement]
+def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, cluster, frame): who is active in each tenth of a second."""
+    return scoring.grid(load(spark, sf_dir, "turns"), "cluster", "cluster").select("session_id", F.col("cluster").cast("long"), "frame")
+
+
+def alone_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches in which one cluster alone is active."""
+    return frames.alone(_active(spark, sf_dir), ["session_id"], "cluster")
+
+
+def voted_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns by votes of three shifted looks at the same activity, one speaker a frame."""
+    a = _active(spark, sf_dir)
+    votes = a.select("session_id", "cluster", F.explode(F.array(F.col("frame"), F.col("frame") + 3, F.col("frame") + 7)).alias("frame")).groupBy("session_id", "frame", "cluster").agg(F.count(F.lit(1)).alias("votes"))
+    return frames.voted_turns(votes.withColumn("crowd", F.lit(1)), ["session_id"], "cluster", "votes", "crowd", 5, 13)
+
+
+def speaker_attributed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word errors of each speaker's words in order against those of the role matched with the speaker."""
+    ship(spark)
+    s = load(spark, sf_dir, "segments").select("session_id", "pos", "speaker", "role", F.split(F.lower("text"), " ").alias("w"))
+    said = lambda label, out: s.groupBy("session_id", F.col(label).alias(out)).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"])).alias(f"{out}_words"))
+    pairs = match_groups(s.groupBy("session_id", "role", "speaker").agg(F.sum(F.size("w")).cast("long").alias("n")), ["session_id"], "role", "speaker", "n")
+    x = said("speaker", "ref").join(pairs.select("session_id", F.col("speaker").alias("ref"), "role"), ["session_id", "ref"], "left").join(said("role", "hyp").withColumnRenamed("hyp", "role"), ["session_id", "role"], "left")
+    c = text.error_counts_udf("ref_words", F.coalesce("hyp_words", F.array().cast("array<string>")))
+    return x.select("session_id", F.col("ref").alias("speaker"), c.alias("c")).select("session_id", "speaker", "c.*")
+
+
+def word_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with the right speaker by length of line, and in all: those whose cluster is the one most words of the speaker have."""
+    words = timeline.split_words_by_turn(spark, sf_dir).select("session_id", "pos", "cluster", "n_words")
+    s = load(spark, sf_dir, "segments").select("session_id", "pos", "role", F.col("n_words").alias("line_words"))
+    x = words.join(s, ["session_id", "pos"])
+    own = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)
+    right = F.sum(F.when(F.col("cluster") == own, F.col("n_words")).otherwise(0))
+    return x.rollup(labels.turn_bucket(F.col("line_words")).alias("bucket")).agg(F.grouping_id().cast("long").alias("is_total"), F.sum("n_words").alias("words"), right.cast("long").alias("right"), F.sum(F.when(F.col("cluster") < 0, F.col("n_words")).otherwise(0)).cast("long").alias("unlabeled"))
+
+
+QUERIES = [alone_ranges, voted_turns, speaker_attributed_errors, word_accuracy, speaker_score_collar, turns_captured, annotated_overlaps, speaker_at_latest, hint_during, meeting_titles, pick_window, provisional_labels, first_and_final_labels, change_points, profiles_in_use, match_profiles, script_validation, clean_read_names, rename_lines, session_versions, swap_if_unchanged, label_changes, replay_revisions, quiet_for, tiles_picked, spot_check, speaker_agreement]
 
 _REFS = "(SELECT DISTINCT session_id, speaker AS ref, unnest(range(start_ms // 100, end_ms // 100)) AS f FROM {segments} s)"
 _COLLAR = "(SELECT DISTINCT session_id, unnest(range(CAST(floor((start_ms - 250) / 100) AS BIGINT), greatest(CAST(floor((start_ms + 250) / 100) AS BIGINT), CAST(floor((start_ms - 250) / 100) AS BIGINT) + 1))) AS f FROM (SELECT *, lag(speaker) OVER (PARTITION BY session_id ORDER BY start_ms, pos) AS p FROM {segments} s) a WHERE p <> speaker)"
 _HYPS = "(SELECT DISTINCT session_id, cluster AS hyp, unnest(range(start_ms // 100, end_ms // 100)) AS f FROM {turns} t)"
+_RUNS = "SELECT session_id, cluster, min(f) AS first, max(f) AS last FROM (SELECT *, f - row_number() OVER (PARTITION BY session_id, cluster ORDER BY f) AS g FROM {x}) r GROUP BY session_id, cluster, g"
+_ALONE = f"(SELECT *, count(*) OVER (PARTITION BY session_id, cluster) AS t FROM (SELECT session_id, f, CAST(min(hyp) AS BIGINT) AS cluster FROM {_HYPS} h GROUP BY 1, 2 HAVING count(*) = 1) a QUALIFY t >= 10)"
+_VOTED = f"(SELECT session_id, f, cluster FROM (SELECT session_id, f, cluster, row_number() OVER (PARTITION BY session_id, f ORDER BY count(*) DESC, cluster) AS rn FROM (SELECT session_id, CAST(hyp AS BIGINT) AS cluster, unnest([f, f + 3, f + 7]) AS f FROM {_HYPS} h) a GROUP BY session_id, f, cluster) b WHERE rn = 1)"
 _PERMUTATIONS = ["012", "021", "102", "120", "201", "210"]
 _SQL = {
+    "alone_ranges": _RUNS.replace("{x}", _ALONE + " a"),
+    "voted_turns": f"SELECT session_id, cluster, min(f) AS first, max(f) AS last FROM (SELECT *, SUM(n) OVER (PARTITION BY session_id, cluster ORDER BY f) AS i FROM (SELECT *, CASE WHEN f - lag(f) OVER (PARTITION BY session_id, cluster ORDER BY f) - 1 <= 5 THEN 0 ELSE 1 END AS n FROM {_VOTED} v) a) b GROUP BY session_id, cluster, i HAVING max(f) - min(f) + 1 > 13",
+    "word_accuracy": "SELECT bucket, CAST(grouping(bucket) AS BIGINT) AS is_total, CAST(SUM(w) AS BIGINT) AS words, CAST(SUM(CASE WHEN cluster = own THEN w ELSE 0 END) AS BIGINT) AS \"right\", CAST(SUM(CASE WHEN cluster < 0 THEN w ELSE 0 END) AS BIGINT) AS unlabeled FROM (SELECT x.cluster, x.n_words AS w, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS own, CASE WHEN s.n_words <= 3 THEN '1-3' WHEN s.n_words <= 15 THEN '4-15' WHEN s.n_words <= 60 THEN '16-60' ELSE '61+' END AS bucket FROM (" + timeline.SPLIT + ") x JOIN {segments} s ON s.session_id = x.session_id AND s.pos = x.pos) y GROUP BY ROLLUP (bucket)",
     "speaker_score_collar": f"""WITH b AS (SELECT r.session_id, r.f, r.ref, h.hyp FROM {_REFS} r JOIN {_HYPS} h ON r.session_id = h.session_id AND r.f = h.f WHERE NOT EXISTS (SELECT 1 FROM {_COLLAR} c WHERE c.session_id = r.session_id AND c.f = r.f)),
         m AS (SELECT session_id, p, count(*) AS n FROM b, (SELECT unnest({_PERMUTATIONS}) AS p) q WHERE ref = 'S' || p[hyp + 1] GROUP BY 1, 2), k AS (SELECT session_id, arg_max(p, n) AS p FROM m GROUP BY 1),
         s AS (SELECT b.session_id, CAST(count(DISTINCT f) AS BIGINT) AS scored, CAST(count(DISTINCT CASE WHEN ref = 'S' || k.p[hyp + 1] THEN f END) AS BIGINT) AS correct FROM b LEFT JOIN k ON b.session_id = k.session_id GROUP BY 1),
