@@ -21,9 +21,12 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm import pretoken
+from parlance.llm import pretoken, textops
 from parlance.runtime import ship
 
+#: Words whose ids are joined back at once (or those of one longer document).
+JOINED = 400_000
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -73,6 +76,17 @@ def decode(pieces: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> list[bytes
     return out
 
 
+def rows(batch: pa.RecordBatch, pieces: pa.Array, ids: np.ndarray, ends: np.ndarray, with_ids: bool) -> pa.RecordBatch:
+    """The result rows of some documents, from their ids and the offsets of these."""
+    raw = ids.astype("<u4", copy=False).tobytes()
+    shas = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    texts = decode(pieces, ids, ends)
+    columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.diff(ends)), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())}
+    if with_ids:
+        columns |= {"tie": batch.column("tie"), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))), "decoded": pa.array([x.decode() for x in texts], pa.string())}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def encoder(content: Broadcast, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pretoken.load(content.value)
@@ -80,15 +94,10 @@ def encoder(content: Broadcast, with_ids: bool):
         for batch in batches:
             for i, j, words, index, at in pretoken.blocks(vocabulary, batch.column("text")):
                 table, offsets = encode_words(vocabulary, words)
-                ids, places = gather(table, offsets, index)
-                ends = places[at]
-                raw = ids.astype("<u4", copy=False).tobytes()
-                shas = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                texts = decode(pieces, ids, ends)
-                columns = {"doc_id": batch.column("doc_id")[i:j], "n_tokens": pa.array(np.diff(ends)), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())}
-                if with_ids:
-                    columns |= {"tie": batch.column("tie")[i:j], "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))), "decoded": pa.array([x.decode() for x in texts], pa.string())}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                for a, b in textops.chunks(at, JOINED):
+                    ids, places = gather(table, offsets, index[at[a] : at[b]])
+                    ends = places[at[a : b + 1] - at[a]]
+                    yield rows(batch.slice(i + a, b - a), pieces, ids, ends, with_ids)
 
     return run
 

@@ -20,7 +20,7 @@ from parlance.llm import textops
 OTHER, LETTER, DIGIT, WHITE, BLANK, UNKNOWN = range(6)
 
 #: Bytes of text whose pieces share one distinct-piece table.
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 
 
 class Vocabulary:
@@ -145,10 +145,10 @@ def blocks(vocabulary: Vocabulary, column: pa.Array) -> Iterator[tuple[int, int,
         ends, counts, done, pieces = [], [np.zeros(1, np.int64)], 0, 0
         for a, b in textops.chunks(at):
             cuts, docs = vocabulary.split(part[at[a] : at[b]], at[a : b + 1] - at[a])
-            ends.append(cuts[:-1] + done)
+            ends.append((cuts[:-1] + done).astype(np.int32))
             counts.append(docs[1:] + pieces)
             done, pieces = int(at[b]), pieces + int(docs[-1])
-        where = np.concatenate([*ends, [len(part)]]).astype(np.int32)
+        where = np.concatenate([*ends, np.array([len(part)], dtype=np.int32)])
         array = pa.Array.from_buffers(pa.binary(), len(where) - 1, [None, pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(part))])
         table = array.dictionary_encode()
         yield i, j, table.dictionary, table.indices.to_numpy(), np.concatenate(counts)
