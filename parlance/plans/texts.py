@@ -9,7 +9,7 @@ from parlance.functions import signal, text, timefmt
 from parlance.operators.sequence import fold
 from parlance.plans import timeline
 from parlance.plans.views import duckdb, load
-from parlance.runtime import read_table, ship
+from parlance.runtime import read_table, ship, small_or_shuffled
 from parlance.sources import transcripts
 
 
@@ -87,7 +87,7 @@ def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = read_table(spark, sf_dir, "benchmark").select(text.text_words_column(F.col("text")).alias("_w")).select(F.array_join(F.slice("_w", 1, 3), " ").alias("term")).distinct()
     d = read_table(spark, sf_dir, "documents").select("doc_id", text.text_words_column(F.col("text")).alias("w")).filter("size(w) >= 3")
     grams = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))).alias("term"))
-    return grams.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("doc_id").alias("docs"))
+    return grams.join(small_or_shuffled(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("doc_id").alias("docs"))
 
 
 def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:

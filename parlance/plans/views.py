@@ -40,7 +40,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         SELECT user_id AS session_id, event_id % 20 AS seg_id, CAST(row_number() OVER (PARTITION BY user_id, event_id % 20 ORDER BY t, event_id) AS BIGINT) AS seq,
           CASE event_type WHEN 'view' THEN 'live' WHEN 'click' THEN 'pending' WHEN 'error' THEN 'removed' ELSE '' END AS status,
           'S' || CAST(event_id % 7 AS STRING) AS speaker FROM {event_ms} e""",
-    "stream_events": "SELECT user_id % 10 AS pid, t, event_id, event_type AS kind FROM {event_ms} e",
+    "stream_events": "SELECT user_id AS pid, t, event_id, event_type AS kind FROM {event_ms} e",
     "fingerprints": "SELECT vec_id, vec_id % 10 AS session_id, vec_id AS chunk, embedding, label, CASE WHEN label < 3 THEN 'tile' || CAST(label AS STRING) END AS tile FROM {embeddings}",
     "vector_parts": (
         "SELECT vec_id, label, CAST(i AS BIGINT) AS i, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, label, posexplode(embedding) AS (i, x) FROM {embeddings}) p",
