@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,13 +31,26 @@ def next_later(df: DataFrame, by: Sequence[str], at: str, out: str = "next_at")
 def fold(df: DataFrame, by: Sequence[str], order: Sequence[str], step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Runs `step` on each group's rows in order: for greedy rules whose decisions depend on earlier decisions.
 
-    A group is one session, so it is bounded by a session's length.
+    A group is one session, so it is bounded by a session's length. Partitions are sorted by group and order and streamed
+    through; one group is held at a time, and results leave in batches, which spares an exchange of Arrow data per group.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return step(pdf.sort_values(list(order), kind="stable").reset_index(drop=True))
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    keys = list(by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            group = rows.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist()]
+            rest = rows.iloc[cuts[-1] :]
+            done = [step(rows.iloc[i:j].reset_index(drop=True)) for i, j in zip(cuts, cuts[1:])]
+            done = [x for x in done if len(x)]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if rest is not None and len(rest):
+            yield step(rest.reset_index(drop=True))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *[c for c in order if c not in keys]).mapInPandas(run, schema)
 
 
 def thin(times: Sequence[int], gap: int) -> list[bool]:
