@@ -139,31 +139,58 @@ def text_words(text: str | None) -> list[str]:
     return re.findall(r"(?:[^\W_]|')+", (text or "").lower())
 
 
+#: Rows of the table of costs that are held at once while an alignment is traced back.
+BLOCK = 256
+
+
+def _cost_row(equal: int, up: int, down: int, full: int) -> tuple[int, int, int, int]:
+    """One row of edit costs as differences, a bit for each word of hyp (Myers 1999, Hyyrö 2003).
+
+    Takes where the word of ref stands in hyp, and where the row before rises and falls by one along hyp. Returns where costs
+    rise and fall against the row before, and where the new row rises and falls along hyp.
+    """
+    x = (((equal & up) + up) ^ up) | equal
+    more, less = (down | ~(x | up)) & full, up & x
+    shifted, v = more << 1 | 1, equal | down
+    return more, less, (less << 1 | ~(v | shifted)) & full, shifted & v & full
+
+
 def alignment(ref: Sequence[str], hyp: Sequence[str]) -> list[int]:
     """For each word of hyp the place in ref it is matched or substituted with, or -1: a least-edit alignment.
 
-    Ties prefer the diagonal, then a deletion, then an insertion.
+    Ties prefer the diagonal, then a deletion, then an insertion. Of the table of costs, a row in BLOCK is kept as bits, and the
+    rows of one block are computed again when the trace gets there, so whole documents fit in memory.
     """
     n, m = len(ref), len(hyp)
-    ids = {w: i for i, w in enumerate({*ref, *hyp})}
-    r, h = np.array([ids[w] for w in ref], dtype=np.int64), np.array([ids[w] for w in hyp], dtype=np.int64)
-    cost = np.zeros((n + 1, m + 1), dtype=np.int32)
-    cost[0], cost[:, 0] = np.arange(m + 1), np.arange(n + 1)
-    ramp = np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.minimum(cost[i - 1, :-1] + (r[i - 1] != h), cost[i - 1, 1:] + 1)
-        cost[i, 1:] = row
-        # insertions chain along the row: the running minimum of cost minus place, plus place
-        cost[i] = np.minimum.accumulate(cost[i] - ramp) + ramp
+    places: dict[str, int] = {}
+    for j, w in enumerate(hyp):
+        places[w] = places.get(w, 0) | 1 << j
+    full = (1 << m) - 1
+    up, down, saved = full, 0, []
+    for i in range((n - 1) // BLOCK * BLOCK + 1 if n else 0):
+        if i % BLOCK == 0:
+            saved.append((up, down))
+        _, _, up, down = _cost_row(places.get(ref[i], 0), up, down, full)
     out, i, j = [-1] * m, n, m
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (r[i - 1] != h[j - 1]):
-            i, j = i - 1, j - 1
-            out[j] = i
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            i -= 1
-        else:
-            j -= 1
+    while i and j:
+        first = (i - 1) // BLOCK * BLOCK
+        up, down = saved.pop()
+        rows = []
+        for w in ref[first:i]:
+            more, less, next_up, next_down = _cost_row(places.get(w, 0), up, down, full)
+            rows.append((up, down, more, less))
+            up, down = next_up, next_down
+        while i > first and j:
+            up, down, more, less = rows[i - 1 - first]
+            k = j - 1
+            rise = more >> k & 1
+            if ref[i - 1] == hyp[k] or rise - (less >> k & 1) + (up >> k & 1) - (down >> k & 1) == 1:
+                i, j = i - 1, k
+                out[j] = i
+            elif rise:
+                i -= 1
+            else:
+                j = k
     return out
 
 

@@ -37,25 +37,25 @@ def text_shift_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside.groupBy("session_id").agg(F.max("anchors").alias("anchors"), F.max("densest").alias("densest"), F.percentile("d", F.lit(0.5)).alias("shift"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
-    """Conversation lines beside the next line of the same session, as arrays of words of at most `most`: short by nature."""
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation lines beside the next line of the same session, as arrays of all their words."""
     w = Window.partitionBy("session_id").orderBy("pos")
-    x = load(spark, sf_dir, "segments").withColumn("ref", F.slice(F.split("text", " "), 1, most))
+    x = load(spark, sf_dir, "segments").withColumn("ref", F.split("text", " "))
     return x.withColumn("hyp", F.coalesce(F.lead("ref").over(w), F.array())).select("session_id", "pos", "ref", "hyp")
 
 
 def word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least word edits from each line to the next, by kind."""
     ship(spark)
-    x = _pairs(spark, sf_dir, 10_000)
+    x = _pairs(spark, sf_dir)
     return x.select("session_id", "pos", text.error_counts_udf("ref", "hyp").alias("c")).select("session_id", "pos", "c.*")
 
 
 def word_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least word edits between the first eight words of each line and of the next."""
+    """Least word edits between each line and the next."""
     ship(spark)
     c = text.error_counts_udf("ref", "hyp")
-    return _pairs(spark, sf_dir, 8).select("session_id", "pos", c.alias("c")).select("session_id", "pos", (F.col("c.substitutions") + F.col("c.deletions") + F.col("c.insertions")).alias("edits"))
+    return _pairs(spark, sf_dir).select("session_id", "pos", c.alias("c")).select("session_id", "pos", (F.col("c.substitutions") + F.col("c.deletions") + F.col("c.insertions")).alias("edits"))
 
 
 _DISTANCE = """
@@ -68,7 +68,7 @@ _DISTANCE = """
 def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of differing words between each line and the next, counted by kind."""
     ship(spark)
-    x = _pairs(spark, sf_dir, 10_000).select("session_id", F.explode(text.diff_hunks_udf("ref", "hyp")).alias("h"))
+    x = _pairs(spark, sf_dir).select("session_id", F.explode(text.diff_hunks_udf("ref", "hyp")).alias("h"))
     return x.groupBy("session_id", "h.kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h.ref_to") - F.col("h.ref_from")).alias("ref_words"), F.sum(F.col("h.hyp_to") - F.col("h.hyp_from")).alias("hyp_words"))
 
 
