@@ -81,13 +81,27 @@ def provisional_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_and_final_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of each line by the turns known after so many seconds: the first shown, the last, and the changes."""
-    s = load(spark, sf_dir, "segments").select("session_id", "pos", "start_ms")
-    t = load(spark, sf_dir, "turns").select("session_id", "turn_pos", "cluster", F.col("start_ms").alias("t_start"))
-    cut = spark.range(1, 13).select((F.col("id") * 20_000).alias("cut"))
-    known = s.join(cut, F.col("start_ms") <= F.col("cut")).join(t, "session_id").filter("t_start <= cut")
-    shown = known.groupBy("session_id", "pos", "cut").agg(F.min(F.struct(F.abs(F.col("t_start") - F.col("start_ms")).alias("d"), F.when(F.col("cut") >= 100_000, -F.col("turn_pos")).otherwise(F.col("turn_pos")).alias("o"), "cluster")).alias("_b"))
-    return scoring.first_and_final(shown.select("session_id", "pos", "cut", F.col("_b.cluster").cast("long").alias("label")), ["session_id", "pos"], "cut", "label")
+    """Labels of each line by the turns known every 20 s until its session ends: the first shown, the last, and the changes.
+
+    The nearest known turn is the last that starts up to the line's start or, once it is known, the first that starts after it, so
+    a label can change only then, or where the later turn begins to win ties (at 100 s); no line meets all turns of its session.
+    """
+    grid = lambda c: F.greatest(F.ceil(F.col(c) / 20_000), F.lit(1)) * 20_000
+    s = load(spark, sf_dir, "segments").select("session_id", "pos", "start_ms", grid("start_ms").alias("own"), grid("end_ms").alias("to"))
+    t = load(spark, sf_dir, "turns").select("session_id", "turn_pos", "cluster", F.col("start_ms").alias("t_start"), grid("start_ms").alias("known"), F.greatest(grid("start_ms"), grid("end_ms")).alias("to"))
+    start = t.groupBy("session_id", F.col("t_start").alias("at"), "known").agg(F.min(F.struct("turn_pos", "cluster")).alias("a"), F.max(F.struct("turn_pos", "cluster")).alias("b")).withColumn("turn", F.struct("at", "known", "a", "b"))
+    both = s.drop("to").withColumn("at", F.col("start_ms")).unionByName(start.select("session_id", "at", "turn"), allowMissingColumns=True)
+    running = lambda *by: F.last("turn", ignorenulls=True).over(Window.partitionBy("session_id").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    near = both.withColumn("before", running("at", F.col("pos").asc_nulls_first())).withColumn("after", running(F.col("at").desc(), F.col("pos").asc_nulls_last())).filter("pos IS NOT NULL")
+    beside = near.select("session_id", "pos", "start_ms", "own", F.explode(F.array("before", "after")).alias("t")).filter("t IS NOT NULL")
+    d = F.abs(F.col("t.at") - F.col("start_ms"))
+    pairs = beside.select("session_id", "pos", F.greatest("own", "t.known").alias("cut"), F.struct(d.alias("d"), F.col("t.a.turn_pos").alias("o"), F.col("t.a.cluster").alias("cluster")).alias("early"), F.struct(d.alias("d"), (-F.col("t.b.turn_pos")).alias("o"), F.col("t.b.cluster").alias("cluster")).alias("late"))
+    last = s.select("session_id", "to").unionByName(t.select("session_id", "to")).groupBy("session_id").agg(F.max("to").alias("to"))
+    marks = s.drop("to").join(last, "session_id").select("session_id", "pos", "own", "to", F.explode(F.array(F.lit(100_000).cast("long"), F.col("to"))).alias("cut")).filter("cut BETWEEN own AND to").select("session_id", "pos", "cut")
+    at = pairs.unionByName(marks, allowMissingColumns=True).groupBy("session_id", "pos", "cut").agg(F.min("early").alias("early"), F.min("late").alias("late"))
+    w = Window.partitionBy("session_id", "pos").orderBy("cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shown = at.select("session_id", "pos", "cut", F.when(F.col("cut") >= 100_000, F.min("late").over(w)["cluster"]).otherwise(F.min("early").over(w)["cluster"]).cast("long").alias("label"))
+    return scoring.first_and_final(shown.filter("label IS NOT NULL"), ["session_id", "pos"], "cut", "label")
 
 
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ import random
 import pytest
 
 from parlance.functions import text
-from parlance.plans import texts
+from parlance.plans import scores, texts
+from parlance.plans.views import load
 
 
 def table(spark, folder, name, rows, schema):
@@ -54,3 +55,22 @@ def test_word_distance_of_whole_lines(spark, tmp_path):
     want = {k: costs(a, b)[-1][-1] for k, (a, b) in enumerate(zip(lines, [*lines[1:], []]))}
     assert want[4] == 5
     assert {x["pos"]: x["edits"] for x in texts.word_distance(spark, data).collect()} == want
+
+
+def test_labels_of_long_sessions(spark, tmp_path):
+    r = random.Random(13)
+    rows = [(c, k, r.choice(["user", "assistant", "system"]), " ".join(["w"] * r.randint(1, 90))) for c, n in ((1, 40), (2, 3), (3, 12)) for k in range(n)]
+    data = table(spark, tmp_path, "conversations", rows, "conv_id long, turn long, role string, text string")
+    lines, turns = load(spark, data, "segments").collect(), load(spark, data, "turns").collect()
+    want = {}
+    for s in lines:
+        own = [t for t in turns if t["session_id"] == s["session_id"]]
+        end = max(x["end_ms"] for x in [*own, *(x for x in lines if x["session_id"] == s["session_id"])])
+        shown = []
+        for cut in range(20_000, max(end + 20_000, 20_001), 20_000):
+            known = [t for t in own if t["start_ms"] <= cut]
+            if s["start_ms"] <= cut and known:
+                shown.append((cut, min(known, key=lambda t: (abs(t["start_ms"] - s["start_ms"]), -t["turn_pos"] if cut >= 100_000 else t["turn_pos"]))["cluster"]))
+        want[s["session_id"], s["pos"]] = (shown[0][1], shown[-1][1], sum(a[1] != b[1] for a, b in zip(shown, shown[1:])), shown[-1][0] - shown[0][0])
+    assert any(s["start_ms"] > 240_000 for s in lines)
+    assert {(x["session_id"], x["pos"]): (x["first"], x["final"], x["changes"], x["span"]) for x in scores.first_and_final_labels(spark, data).collect()} == want
