@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Sequence
 
@@ -305,6 +306,15 @@ def normalize_words_udf(text: pd.Series) -> pd.Series:
     return text.map(normalize_words)
 
 
+@F.pandas_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("digest", T.StringType())]))
+def words_digest_udf(text: pd.Series) -> pd.DataFrame:
+    """Number of the normalized words, and the MD5 of them joined by spaces."""
+    out = []
+    for words in map(normalize_words, text):
+        out.append((len(words), hashlib.md5(" ".join(words).encode()).hexdigest()))
+    return pd.DataFrame(out, columns=["n_words", "digest"])
+
+
 COUNTS = ["ref_words", "substitutions", "deletions", "insertions"]
 HUNK = T.StructType([T.StructField(c, T.LongType()) for c in ("ref_from", "ref_to", "hyp_from", "hyp_to")] + [T.StructField("kind", T.StringType())])
 
@@ -319,6 +329,17 @@ def diff_hunks_udf(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([diff_hunks(list(a), list(b)) for a, b in zip(ref, hyp)])
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def text_error_counts_udf(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    """error_counts of the normalized words of two texts; a row at a time, as the words take far more memory than the texts."""
+    return pd.DataFrame([error_counts(normalize_words(a), normalize_words(b)) for a, b in zip(ref, hyp)], columns=COUNTS)
+
+
+@F.pandas_udf(T.ArrayType(HUNK))
+def text_diff_hunks_udf(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    return pd.Series([diff_hunks(normalize_words(a), normalize_words(b)) for a, b in zip(ref, hyp)])
+
+
 def text_words_column(text: Column) -> Column:
     """text_words as a column expression."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}']+"), lambda w: w != "")

@@ -44,11 +44,17 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("hyp", F.coalesce(F.lead("ref").over(w), F.array())).select("session_id", "pos", "ref", "hyp")
 
 
+def _document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents (ref) beside the document of the next doc_id (hyp) where it is of the same language."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("ref"))
+    return d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), "lang", F.col("ref").alias("hyp")), ["doc_id", "lang"])
+
+
 def word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least word edits from each line to the next, by kind."""
+    """Least word edits from each document to the next of its language, by kind, over all their normalized words."""
     ship(spark)
-    x = _pairs(spark, sf_dir)
-    return x.select("session_id", "pos", text.error_counts_udf("ref", "hyp").alias("c")).select("session_id", "pos", "c.*")
+    x = _document_pairs(spark, sf_dir)
+    return x.select("doc_id", text.text_error_counts_udf("ref", "hyp").alias("c")).select("doc_id", "c.*")
 
 
 def word_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,17 +72,16 @@ _DISTANCE = """
 
 
 def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stretches of differing words between each line and the next, counted by kind."""
+    """Stretches of differing words between each document and the next of its language, counted by kind."""
     ship(spark)
-    x = _pairs(spark, sf_dir).select("session_id", F.explode(text.diff_hunks_udf("ref", "hyp")).alias("h"))
-    return x.groupBy("session_id", "h.kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h.ref_to") - F.col("h.ref_from")).alias("ref_words"), F.sum(F.col("h.hyp_to") - F.col("h.hyp_from")).alias("hyp_words"))
+    x = _document_pairs(spark, sf_dir).select("lang", F.explode(text.text_diff_hunks_udf("ref", "hyp")).alias("h"))
+    return x.groupBy("lang", "h.kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h.ref_to") - F.col("h.ref_from")).alias("ref_words"), F.sum(F.col("h.hyp_to") - F.col("h.hyp_from")).alias("hyp_words"))
 
 
 def normalize_words_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the scoring normalizer per benchmark item."""
+    """Words of the scoring normalizer per document: how many, and a digest of them."""
     ship(spark)
-    b = read_table(spark, sf_dir, "benchmark")
-    return b.select("item_id", F.size(text.normalize_words_udf("text")).cast("long").alias("n_words"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", text.words_digest_udf("text").alias("w")).select("doc_id", "w.*")
 
 
 def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries and operators do the whole job: long lines, long sessions, whole documents, any number of languages."""
 
+import hashlib
 import random
 
 import pytest
@@ -74,3 +75,17 @@ def test_labels_of_long_sessions(spark, tmp_path):
         want[s["session_id"], s["pos"]] = (shown[0][1], shown[-1][1], sum(a[1] != b[1] for a, b in zip(shown, shown[1:])), shown[-1][0] - shown[0][0])
     assert any(s["start_ms"] > 240_000 for s in lines)
     assert {(x["session_id"], x["pos"]): (x["first"], x["final"], x["changes"], x["span"]) for x in scores.first_and_final_labels(spark, data).collect()} == want
+
+
+def test_whole_documents_are_normalized_and_aligned(spark, tmp_path):
+    r = random.Random(14)
+    body = lambda n: [r.choice("bcdefghj") + r.choice("bcd") for _ in range(n)]
+    docs = [(1, body(700), "en"), (2, body(650), "en"), (3, body(30), "de"), (4, [], "de"), (6, body(9), "de")]
+    data = table(spark, tmp_path, "documents", [(d, " ".join(w) + ".", k) for d, w, k in docs] + [(7, None, "de")], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: (x["n_words"], x["digest"]) for x in texts.normalize_words_full(spark, data).collect()}
+    assert got == {d: (len(w), hashlib.md5(" ".join(w).encode()).hexdigest()) for d, w, _ in [*docs, (7, [], "de")]}
+    edits = {x["doc_id"]: (x["ref_words"], x["substitutions"] + x["deletions"] + x["insertions"]) for x in texts.word_errors(spark, data).collect()}
+    assert edits == {1: (700, costs(docs[0][1], docs[1][1])[-1][-1]), 3: (30, 30), 6: (9, 9)}
+    hunks = texts.diff_hunks(spark, data).groupBy("lang").sum("ref_words", "hyp_words").collect()
+    same = sum(p >= 0 and docs[0][1][p] == w for p, w in zip(traced(docs[0][1], docs[1][1]), docs[1][1]))
+    assert {tuple(x) for x in hunks} == {("en", 700 - same, 650 - same), ("de", 39, 0)}
