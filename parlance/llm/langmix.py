@@ -5,9 +5,9 @@ at most SAMPLE texts of each language, taken by a hash of the doc_id; smoothed l
 the model, BUCKETS numbers a language, which is what is broadcast.
 
 Prediction. A document is a row of units of UNIT words. A unit's likelihood under a language is the product of its
-n-grams'; EM estimates the proportions of the languages in the document. The sets compared are the 1, 2, ... MOST
+n-grams'; EM estimates the proportions of the languages in the document. The sets compared are the 1, 2, ...
 languages of the largest proportions, each fitted by EM in turn; the set of greatest log-likelihood less PENALTY
-log(units) per language wins. The largest language of that set is predicted; its score is its proportion,
+log(units) per language wins. Larger sets are tried until each unit having its best language would not win. The largest language of that set is predicted; its score is its proportion,
 smoothed by the number of units. All documents of a chunk are fitted together by array operations.
 """
 
@@ -28,7 +28,7 @@ from parlance.runtime import packed, ship
 SAMPLE, BUCKETS, GRAM = 2000, 1 << 16, 4
 #: Most languages that can be learnt (the model is broadcast: LANGUAGES * BUCKETS * 4 bytes at most).
 LANGUAGES = 400
-UNIT, STEPS, MOST, PENALTY, PRIOR = 4, 8, 3, 1.5, 0.05
+UNIT, STEPS, PENALTY, PRIOR = 4, 8, 1.5, 0.05
 UNKNOWN = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -137,14 +137,20 @@ def infer(model: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.
     order = np.argsort(-share, axis=1, kind="stable")
     most = np.full(len(n), -np.inf)
     chosen = np.zeros_like(share)
-    for size in range(1, min(MOST, k) + 1):
-        active = np.zeros_like(share)
-        np.put_along_axis(active, order[:, :size], 1.0, axis=1)
-        own, value = fit(likelihood, peak, at, n, active, 0 if size == 1 else STEPS)
-        value = value - PENALTY * size * np.log(n + 1.0)
-        better = value > most
-        most = np.where(better, value, most)
-        chosen[better] = own[better]
+    bound, doc = np.add.reduceat(peak, at), np.repeat(np.arange(len(n)), n)
+    for size in range(1, k + 1):
+        cost = PENALTY * size * np.log(n + 1.0)
+        able = bound - cost > most
+        if not able.any():
+            break
+        rows, m = able[doc], n[able]
+        active = np.zeros((len(m), k))
+        np.put_along_axis(active, order[able, :size], 1.0, axis=1)
+        own, value = fit(likelihood[rows], peak[rows], np.cumsum(m) - m, m, active, 0 if size == 1 else STEPS)
+        value = value - cost[able]
+        better = value > most[able]
+        won = np.flatnonzero(able)[better]
+        most[won], chosen[won] = value[better], own[better]
     best[some] = chosen.argmax(axis=1)
     score[some] = (chosen.max(axis=1) * n + PRIOR) / (n + PRIOR * k)
     shares[some] = chosen
