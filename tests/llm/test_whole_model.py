@@ -1,11 +1,11 @@
-"""Model operators do the whole job: documents of many languages."""
+"""Model operators do the whole job: documents of many languages, walks that settle."""
 
 import random
 
 import numpy as np
 import pytest
 
-from parlance.llm import langmix, textops
+from parlance.llm import langmix, linkrank, textops
 
 
 def test_documents_of_four_and_more_languages():
@@ -26,3 +26,12 @@ def test_documents_of_four_and_more_languages():
     for mix, b, s, share in zip(mixes, best, score, shares):
         assert set(np.flatnonzero(share)) == set(mix) and b in mix
         assert s == pytest.approx(1 / len(mix), abs=0.03) and share[mix] == pytest.approx([1 / len(mix)] * len(mix), abs=0.03)
+
+
+def test_walk_settles_on_a_cycle(spark):
+    edges = spark.createDataFrame([("h", "b", 1.0), ("b", "h", 1.0)], "src string, dst string, p double")
+    seeds = spark.createDataFrame([("h", 0.0), ("b", 0.26)], "host string, seed double")
+    got = {x["host"]: x["score"] for x in linkrank.walk(edges, seeds, "cycle").collect()}
+    b = 0.15 * 0.26 / (1 - 0.85**2)  # solved
+    assert got == pytest.approx({"b": b, "h": 0.85 * b}, abs=linkrank.TOLERANCE)
+    assert got["h"] > 0.15 * linkrank.BLOCK_AT
