@@ -2,13 +2,16 @@
 
 Learning. Hashed byte n-grams of ASCII-lower-cased words (with a space to each side) are counted per language over
 at most SAMPLE texts of each language, taken by a hash of the doc_id; smoothed logarithms of their shares are
-the model, BUCKETS numbers a language, which is what is broadcast.
-
-Prediction. A document is a row of units of UNIT words. A unit's likelihood under a language is the product of its
-n-grams'; EM estimates the proportions of the languages in the document. The sets compared are the 1, 2, ...
-languages of the largest proportions, each fitted by EM in turn; the set of greatest log-likelihood less PENALTY
-log(units) per language wins. Larger sets are tried until each unit having its best language would not win. The largest language of that set is predicted; its score is its proportion,
-smoothed by the number of units. All documents of a chunk are fitted together by array operations.
+the model, a row of buckets for each language, which is what is broadcast: MODEL_BYTES at most, as many languages share
+fewer buckets.
+
+Prediction. A document is a row of units of UNIT words, the last of which ends with the document. A unit's likelihood
+under a language is the product of its n-grams'; EM estimates the proportions of the languages in the document, until
+they move by less than TOLERANCE. The sets compared are the 1, 2, ... languages of the largest proportions, each
+fitted by EM in turn; the set of greatest log-likelihood less PENALTY log(units) per language wins. Larger sets are tried
+until each unit having its best language would not win. The largest language of that set is predicted; its score is its
+proportion, smoothed by the number of units. All documents of a chunk are fitted together by array operations, in which
+each is alone: its steps end when it has settled, whatever the others do.
 """
 
 from __future__ import annotations
@@ -24,11 +27,17 @@ from pyspark.sql import functions as F
 from parlance.llm import textops
 from parlance.runtime import packed, ship
 
-#: Texts per language that are learnt from, buckets of n-grams, length of the n-grams.
+#: Texts per language that are learnt from, most buckets of n-grams, length of the n-grams.
 SAMPLE, BUCKETS, GRAM = 2000, 1 << 16, 4
-#: Most languages that can be learnt (the model is broadcast: LANGUAGES * BUCKETS * 4 bytes at most).
-LANGUAGES = 400
-UNIT, STEPS, PENALTY, PRIOR = 4, 8, 1.5, 0.05
+#: Bytes of the model at most; with more than MODEL_BYTES / (4 * BUCKETS) languages each has fewer buckets.
+MODEL_BYTES = 64 << 20
+#: Most languages (distinct values of lang) that can be learnt: 2048 buckets each. More are refused.
+LANGUAGES = 8192
+#: Languages whose counts a learning task holds at once.
+HELD = 64
+UNIT, PENALTY, PRIOR = 4, 1.5, 0.05
+#: EM ends when the proportions move by less than TOLERANCE in all; no document is known to need STEPS steps.
+TOLERANCE, STEPS = 1e-6, 10_000
 UNKNOWN = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -36,121 +45,169 @@ _LOWER[65:91] += 32
 _LOWER[textops.SPACE] = 32
 
 
-def _hashed(columns: Iterator[np.ndarray], n: int) -> np.ndarray:
+def buckets_for(languages: int) -> int:
+    """Buckets a language: the most that MODEL_BYTES allow, a power of two."""
+    return min(BUCKETS, 1 << ((MODEL_BYTES // (4 * max(languages, 1))).bit_length() - 1))
+
+
+def _hashed(columns: Iterator[np.ndarray], n: int, size: int) -> np.ndarray:
     h = np.zeros(n, dtype=np.uint32)
     for x in columns:
         h = h * np.uint32(0x01000193) + x
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
-    return h >> np.uint32(32 - BUCKETS.bit_length() + 1)
+    return h >> np.uint32(32 - size.bit_length() + 1)
 
 
-def buckets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def buckets(data: np.ndarray, offsets: np.ndarray, size: int = BUCKETS) -> np.ndarray:
     """A bucket for each byte position: that of the GRAM bytes that start there, spaces after the end of its document."""
     x = np.concatenate([_LOWER[data], np.full(GRAM - 1, 32, np.uint8)]).astype(np.uint32)
     n = len(data)
-    out = _hashed((x[i : i + n] for i in range(GRAM)), n)
+    out = _hashed((x[i : i + n] for i in range(GRAM)), n, size)
     for back in range(1, GRAM):  # the last positions of each document look past its end
         ends = offsets[1:][np.diff(offsets) >= back]
-        out[ends - back] = _hashed((x[ends - back + i] if i < back else np.uint32(32) for i in range(GRAM)), len(ends))
+        out[ends - back] = _hashed((x[ends - back + i] if i < back else np.uint32(32) for i in range(GRAM)), len(ends), size)
     return out
 
 
-def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, bucket, n), summed over the task."""
-    sums: dict[str, np.ndarray] = {}
-    for batch in batches:
-        data, offsets = textops.utf8(batch.column("text"))
-        for lang, a, b in zip(batch.column("lang").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-            own = sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-            own += np.bincount(buckets(data[a:b], np.array([0, b - a])), minlength=BUCKETS)
-    for lang, own in sums.items():
-        hit = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), pa.array(hit.astype(np.int32)), pa.array(own[hit])], names=["lang", "bucket", "n"])
+def counter(size: int):
+    """(lang, text) to (lang, bucket, n), summed over the task, or over as long as HELD languages are met."""
+
+    def out(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, own in sums.items():
+            hit = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), pa.array(hit.astype(np.int32)), pa.array(own[hit])], names=["lang", "bucket", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            data, offsets = textops.utf8(batch.column("text"))
+            for lang, a, b in zip(batch.column("lang").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                if lang not in sums and len(sums) == HELD:
+                    yield from out(sums)
+                    sums = {}
+                own = sums.setdefault(lang, np.zeros(size, dtype=np.int64))
+                own += np.bincount(buckets(data[a:b], np.array([0, b - a]), size), minlength=size)
+        yield from out(sums)
+
+    return run
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, seed: int = 4) -> tuple[list[str], np.ndarray]:
-    """Languages and the log shares of the buckets (BUCKETS x languages), from docs (doc_id, text, lang).
+    """Languages and the log shares of the buckets (languages x buckets), from docs (doc_id, text, lang).
 
-    Rows with null text or lang teach nothing. A language with more than `sample` rows is thinned by a hash of doc_id to
-    about as many. The tables collected are bounded: a row per language, and per language and bucket.
+    Rows with null text or lang teach nothing; rows with null doc_id are sampled as one. A language with more than
+    `sample` rows is thinned by a hash of doc_id to about as many. The tables collected are bounded: a row per
+    language (more than LANGUAGES are an error), and per language and bucket (MODEL_BYTES / 4 at most).
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 33).alias("_h"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
     if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
+    size = buckets_for(len(sizes))
     if not sizes:
-        return [], np.zeros((BUCKETS, 0), np.float32)
-    limit: Column = F.lit(0)
-    for lang, n in sizes.items():
-        limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, sample / n) * (1 << 31)))).otherwise(limit)
-    counted = known.filter(F.col("_h") < limit).select("lang", "text").mapInArrow(count_grams, "lang string, bucket int, n long")
-    table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        return [], np.zeros((0, size), np.float32)
+    limits = spark.createDataFrame([(lang, int(min(1.0, sample / n) * (1 << 31))) for lang, n in sizes.items()], "lang string, _limit long")
+    taken = known.join(F.broadcast(limits), "lang").filter("_h < _limit").select("lang", "text")
+    table = taken.mapInArrow(counter(size), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(sizes)
-    counts = np.zeros((BUCKETS, len(languages)))
     place = {x: i for i, x in enumerate(languages)}
-    counts[table.column("bucket").to_numpy(), [place[x] for x in table.column("lang").to_pylist()]] = table.column("n").to_numpy()
-    counts += 0.5
-    return languages, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    codes = table.column("lang").combine_chunks().dictionary_encode()
+    row = np.array([place[x] for x in codes.dictionary.to_pylist()], dtype=np.int64)[codes.indices.to_numpy()]
+    counts = np.full((len(languages), size), 0.5, dtype=np.float32)
+    counts[row, table.column("bucket").to_numpy()] += table.column("n").to_numpy()
+    for own in counts:
+        own[:] = np.log(own / own.sum(dtype=np.float64))
+    return languages, counts
 
 
-def fit(likelihood: np.ndarray, peak: np.ndarray, at: np.ndarray, n: np.ndarray, active: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """EM for documents whose units are likelihood[at[d] : at[d] + n[d]] (n > 0), over the active languages of each.
+def fit(likelihood: np.ndarray, peak: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """EM for documents whose units are the next n[d] rows of likelihood (n > 0; a column for each language).
 
-    Returns proportions (documents x languages) and log-likelihoods.
+    Returns proportions (documents x languages) and log-likelihoods. A document whose proportions move by less than
+    TOLERANCE has settled and leaves; what is left of the arrays is made smaller as half of their documents have.
     """
-    share = active / active.sum(axis=1, keepdims=True)
-    doc = np.repeat(np.arange(len(n)), n)
-    for step in range(steps + 1):
-        joint = likelihood * share[doc]
-        total = joint.sum(axis=1, keepdims=True)
-        np.maximum(total, 1e-30, out=total)
-        if step == steps:
+    docs, k = len(n), likelihood.shape[1]
+    share = np.full((docs, k), 1.0 / k)
+    live, rows, size = np.arange(docs), likelihood, n
+    at = np.cumsum(size) - size
+    doc = np.repeat(np.arange(docs), size)
+    moving = np.full(docs, k > 1)
+    for _ in range(STEPS):
+        if not moving.any():
             break
-        share = np.add.reduceat(joint / total, at, axis=0) / n[:, None]
-        share *= active
-        share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-30)
-    return share, np.add.reduceat(np.log(total[:, 0]) + peak, at)
+        if 2 * moving.sum() <= len(moving):
+            rows, live, size = rows[moving[doc]], live[moving], size[moving]
+            at = np.cumsum(size) - size
+            doc = np.repeat(np.arange(len(size)), size)
+            moving = np.ones(len(size), dtype=bool)
+        own = share[live]
+        joint = rows * own[doc]
+        joint /= np.maximum(joint.sum(axis=1, keepdims=True), 1e-300)
+        new = np.add.reduceat(joint, at, axis=0) / size[:, None]
+        moved = np.abs(new - own).sum(axis=1)
+        share[live[moving]] = new[moving]
+        moving &= moved >= TOLERANCE
+    at = np.cumsum(n) - n
+    total = np.maximum((likelihood * share[np.repeat(np.arange(docs), n)]).sum(axis=1), 1e-300)
+    return share, np.add.reduceat(np.log(total) + peak, at)
+
+
+def unit_logs(model: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihoods of the units (units x languages) of all documents, and each document's number of units.
+
+    A unit is the bytes from its first word to the next unit's, the last one's to the document's end.
+    """
+    starts, _, words = textops.words(data, offsets)
+    n = -(-np.diff(words) // UNIT)
+    some = np.flatnonzero(n)
+    if not len(some):
+        return np.zeros((0, len(model))), n
+    m = n[some]
+    at = np.cumsum(m) - m
+    first = starts[np.repeat(words[:-1][some], m) + (np.arange(m.sum()) - np.repeat(at, m)) * UNIT]
+    # a bound for each unit's start, and one for the end of each document
+    place = np.arange(len(first)) + np.repeat(np.arange(len(some)), m)
+    bounds = np.empty(len(first) + len(some), dtype=np.int64)
+    bounds[place], bounds[np.cumsum(m + 1) - 1] = first, offsets[1:][some]
+    gram = buckets(data, offsets, model.shape[1])
+    logs = np.empty((len(first), len(model)))
+    for i, own in enumerate(model):  # a language at a time, to keep the gathered table small
+        logs[:, i] = np.add.reduceat(np.append(own[gram], np.float32(0)), bounds, dtype=np.float64)[place]
+    return logs, n
 
 
 def infer(model: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each document of data: predicted language (-1 without words), score, and the proportions of the chosen set."""
-    starts, _, words = textops.words(data, offsets)
-    docs, k = len(offsets) - 1, model.shape[1]
+    docs, k = len(offsets) - 1, len(model)
     best, score, shares = np.full(docs, -1), np.zeros(docs), np.zeros((docs, k))
-    per = np.diff(words)
-    units = -(-per // UNIT)
-    some = np.flatnonzero(units)
+    logs, n = unit_logs(model, data, offsets)
+    some = np.flatnonzero(n)
     if not len(some) or not k:
         return best, score, shares
-    n = units[some]
-    at = np.cumsum(n) - n
-    first = starts[np.repeat(words[:-1][some], n) + (np.arange(n.sum()) - np.repeat(at, n)) * UNIT]
-    gram = buckets(data, offsets)
-    logs = np.empty((len(first), k))
-    for i in range(k):  # a language at a time, to keep the gathered table small
-        logs[:, i] = np.add.reduceat(model[gram, i], first)
+    n = n[some]
     peak = logs.max(axis=1)
     likelihood = np.exp(logs - peak[:, None])
-    share, _ = fit(likelihood, peak, at, n, np.ones((len(n), k)), STEPS)
+    share, _ = fit(likelihood, peak, n)
     order = np.argsort(-share, axis=1, kind="stable")
     most = np.full(len(n), -np.inf)
     chosen = np.zeros_like(share)
-    bound, doc = np.add.reduceat(peak, at), np.repeat(np.arange(len(n)), n)
+    bound, doc = np.add.reduceat(peak, np.cumsum(n) - n), np.repeat(np.arange(len(n)), n)
     for size in range(1, k + 1):
         cost = PENALTY * size * np.log(n + 1.0)
-        able = bound - cost > most
-        if not able.any():
+        able = np.flatnonzero(bound - cost > most)
+        if not len(able):
             break
-        rows, m = able[doc], n[able]
-        active = np.zeros((len(m), k))
-        np.put_along_axis(active, order[able, :size], 1.0, axis=1)
-        own, value = fit(likelihood[rows], peak[rows], np.cumsum(m) - m, m, active, 0 if size == 1 else STEPS)
+        rows, m = np.isin(doc, able), n[able]
+        columns = order[able, :size]
+        own, value = fit(np.take_along_axis(likelihood[rows], np.repeat(columns, m, axis=0), axis=1), peak[rows], m)
         value = value - cost[able]
         better = value > most[able]
-        won = np.flatnonzero(able)[better]
-        most[won], chosen[won] = value[better], own[better]
+        won = able[better]
+        most[won], chosen[won] = value[better], 0.0
+        chosen[won[:, None], columns[better]] = own[better]
     best[some] = chosen.argmax(axis=1)
     score[some] = (chosen.max(axis=1) * n + PRIOR) / (n + PRIOR * k)
     shares[some] = chosen
@@ -163,7 +220,7 @@ def predictor(model: Broadcast):
         for batch in batches:
             data, offsets = textops.utf8(batch.column("text"))
             letter = batch.column("has_letter").to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in textops.chunks(offsets):
+            for i, j in textops.chunks(offsets, max(1 << 16, textops.CHUNK * 8 // max(8, len(languages)))):
                 best, score, shares = infer(table, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 best[~letter[i:j]] = -1
                 names = [languages[b] if b >= 0 else UNKNOWN for b in best.tolist()]
@@ -180,7 +237,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, tie (xxhash64 of the text), lang_pred, score (0 to 1), mixture.
 
     lang_pred is 'und' with score 0 and an empty mixture if the text is null or has no letter, or if no language was
-    learnt. Only the text decides. Repeated rows give equal results; other columns are not read.
+    learnt. Only the text decides, not its neighbours in a batch. A null doc_id stays null; a very long text is fitted
+    whole, by one task; repeated rows give equal results; other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -194,7 +252,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of docs (doc_id, text, lang, ...) whose language is known: predicted, and at least `least` of the text."""
+    """The rows of docs (doc_id, text, lang, ...) whose language is known: predicted, and at least `least` of the text.
+
+    Rows whose text is null or has no letter go, as do all where no language can be learnt (an empty table stays
+    empty). Repeated rows stay or go together, those with null doc_id by their text. All columns are returned, whatever
+    their names.
+    """
     known = predict(docs, learn(docs.filter(~held_out(F.col("doc_id"))))).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     known = known.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).dropDuplicates()
     x = packed(docs).withColumn("_t", F.xxhash64("_row.text"))

@@ -15,11 +15,11 @@ def test_documents_of_four_and_more_languages():
     letters = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
     said = lambda k, n: " ".join("".join(r.choice(letters[k]) for _ in range(r.randint(3, 8))) for _ in range(n))
     flat = lambda rows: textops.utf8(pa.array(rows, pa.string()))
-    counts = np.full((langmix.BUCKETS, 6), 0.5)
+    counts = np.full((6, langmix.BUCKETS), 0.5)
     for k in range(6):
         data, offsets = flat([said(k, 4000)])
-        counts[:, k] += np.bincount(langmix.buckets(data, offsets), minlength=langmix.BUCKETS)
-    model = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+        counts[k] += np.bincount(langmix.buckets(data, offsets), minlength=langmix.BUCKETS)
+    model = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
     mixes = [[0], [0, 1, 2], [0, 1, 2, 3], [5, 4, 3, 2, 1, 0], [2, 4]]
     data, offsets = flat([" ".join(said(k, 80) for k in mix) for mix in mixes])
     best, score, shares = langmix.infer(model, data, offsets)
