@@ -5,11 +5,13 @@ Everything runs as DataFrame operations.
 1.  A url's host has a handful of suffixes (a.b.com, b.com, com); the rules are joined on the suffix, the
     longest rule whose path starts the url's path wins. No url meets all rules.
 2.  Links in the html give weighted host-to-host edges (relative links stay on the host and give none).
-3.  Trust starts at hosts whose pages rules allow and walks along the links (personalised PageRank);
-    distrust starts at hosts whose pages rules block and walks against the links, as a page that
-    links to blocked hosts shares their blame. A host's seed is the share of its pages so decided.
-4.  A host is blocked if its distrust is at least BLOCK_AT of what a fully blocked host starts with, and
-    more than its trust; all other hosts are allowed.
+3.  Trust is personalised PageRank from the hosts whose pages rules allow, along the links: a host passes on its trust
+    by the shares of its links. Distrust is walked against the links, from the hosts whose pages rules block: a host takes over
+    the distrust of what it links to, by the shares of its own links, so that a blocked host which many link to
+    taints each of them as much as one which few do. A seed holds its part: what a blocked host links to changes
+    nothing about it. A host's seed is the share of its pages so decided. In both a fully decided host has 1.
+4.  A host is blocked if its distrust is at least BLOCK_AT, which is what half of its links leading to
+    fully blocked hosts come to, and more than its trust; all other hosts are allowed.
 
 The walks are one join and one aggregation of host-sized tables each step, written to the shared folder
 so that lineage stays short; they end once all values together are within TOLERANCE of where they settle.
@@ -19,13 +21,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from parlance.runtime import materialize, small_or_shuffled
 
-#: STEPS are enough for a total seed of 11; walk() takes more where the seeds need them.
-DAMPING, STEPS, TOLERANCE, BLOCK_AT = 0.85, 100, 1e-6, 0.75
+DAMPING, TOLERANCE = 0.85, 1e-6
+BLOCK_AT = DAMPING / 2
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -80,45 +82,51 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.filter("src <> dst AND src <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def walk(edges: DataFrame, seeds: DataFrame, name: str, damping: float = DAMPING) -> DataFrame:
-    """Personalised PageRank: (host, score) = (1 - d) seed + d * sum over edges (src, dst, p) of score(src) * p.
+def walk(edges: DataFrame, seeds: DataFrame, name: str, held: bool = False, damping: float = DAMPING) -> DataFrame:
+    """(host, score): score = seed + d * sum over edges (src, dst, p) of score(src) * p, times 1 - seed if held.
 
-    seeds (host, seed) has every host once. Host scores stay between 0 and the total seed; they are not normalised.
-    After k steps d^(k + 1) times the total seed is missing at most, which bounds the steps.
+    seeds (host, seed) has every host once, seeds lie in 0 to 1. Either a host's p to all dst (trust) or from all src
+    (held) sum to 1 at most, so that the sum, or the largest, of what is missing shrinks by d each step. That bounds
+    the steps; a walk that has not settled within them is an error.
     """
-    score = materialize(seeds.select("host", "seed", (F.col("seed") * (1 - damping)).alias("score")), f"{name}-0")
+    score = materialize(seeds.select("host", "seed", F.col("seed").alias("score")), f"{name}-0")
     if edges.isEmpty():
         return score.select("host", "score")
-    total = score.agg(F.sum("seed")).first()[0] or 0.0
-    steps = max(STEPS, math.ceil(math.log(TOLERANCE / max(total, 1.0)) / math.log(damping)) + 1)
+    total = score.agg(F.max("seed") if held else F.sum("seed")).first()[0] or 0.0
+    least = TOLERANCE * (1 - damping) / damping
+    steps = 2 + max(0, math.ceil(math.log(least / max(total, least)) / math.log(damping)))
+    keep = (1 - F.col("seed")) * damping if held else F.lit(damping)
+    change = F.abs(F.col("score") - F.col("old"))
     for step in range(1, steps + 1):
         flow = edges.join(score.select(F.col("host").alias("src"), "score"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("p") * F.col("score")).alias("flow"))
-        new = score.join(flow, "host", "left").select("host", "seed", F.col("score").alias("old"), (F.col("seed") * (1 - damping) + F.coalesce(F.col("flow"), F.lit(0.0)) * damping).alias("score"))
-        new = materialize(new, f"{name}-{step}")
-        moved = new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+        new = score.join(flow, "host", "left").select("host", "seed", F.col("score").alias("old"), (F.col("seed") + F.coalesce(F.col("flow"), F.lit(0.0)) * keep).alias("score"))
+        seen = Observation()
+        new = materialize(new.observe(seen, (F.max(change) if held else F.sum(change)).alias("moved")), f"{name}-{step}")
+        moved = seen.get["moved"]  # counted as the table is written
         score = new.select("host", "seed", "score")
-        if moved is None or moved * damping / (1 - damping) <= TOLERANCE:
+        if moved is None or moved <= least:
             return score.select("host", "score")
     raise RuntimeError(f"{name} has not settled after {steps} steps")
 
 
-def with_shares(edges: DataFrame, src: str, dst: str) -> DataFrame:
+def with_shares(edges: DataFrame) -> DataFrame:
     """Edges as (src, dst, p): p is the share of src's weight. Divides by a joined sum, not a window, as hubs are hot."""
-    out = edges.groupBy(src).agg(F.sum("weight").alias("_w"))
-    return edges.join(out, src).select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("weight") / F.col("_w")).alias("p"))
+    out = edges.groupBy("src").agg(F.sum("weight").alias("_w"))
+    return edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_w")).alias("p"))
 
 
 def host_verdicts(pages: DataFrame, ruled: DataFrame, block_at: float = BLOCK_AT) -> DataFrame:
     """(host, trust, distrust, host_verdict) for every host of ruled (host, rule_verdict), from the links of pages."""
-    edges = materialize(host_edges(pages), "link-edges")
+    edges = materialize(with_shares(materialize(host_edges(pages), "link-edges")), "link-shares")
     share = lambda v: F.avg(F.when(F.col("rule_verdict") == v, 1.0).otherwise(0.0))
     own = ruled.groupBy("host").agg(share("allow").alias("allow"), share("block").alias("block"))
     others = edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct().select("host", F.lit(0.0).alias("allow"), F.lit(0.0).alias("block"))
     hosts = materialize(own.unionByName(others).groupBy("host").agg(F.max("allow").alias("allow"), F.max("block").alias("block")), "link-hosts")
-    trust = walk(with_shares(edges, "src", "dst"), hosts.select("host", F.col("allow").alias("seed")), "link-trust")
-    blame = walk(with_shares(edges, "dst", "src"), hosts.select("host", F.col("block").alias("seed")), "link-blame")
+    trust = walk(edges, hosts.select("host", F.col("allow").alias("seed")), "link-trust")
+    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "p")
+    blame = walk(against, hosts.select("host", F.col("block").alias("seed")), "link-blame", held=True)
     both = trust.withColumnRenamed("score", "trust").join(blame.withColumnRenamed("score", "distrust"), "host")
-    blocked = (F.col("distrust") >= block_at * (1 - DAMPING)) & (F.col("distrust") > F.col("trust"))
+    blocked = (F.col("distrust") >= block_at) & (F.col("distrust") > F.col("trust"))
     return both.withColumn("host_verdict", F.when(blocked, "block").otherwise("allow"))
 
 
@@ -128,7 +136,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, block_at: floa
     verdict is the rule's, or where no rule fits the host's. A url that is null or has no '://' has empty host
     and path, no rule, and its empty host takes part like any other (it has no links). A null html has no
     links. Up to `short` rules are tried in the projection, more are joined by host suffix. Repeated rows are
-    judged alike; columns other than the three named are neither read nor returned.
+    judged alike, and their links count as often; a null page_id stays null; urls of any length are read whole; an empty
+    table gives an empty result. Columns other than the three named are neither read nor returned.
     """
     x = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if len(rules) <= short:

@@ -53,21 +53,23 @@ def judge() -> str:
     fits = lambda r: f"(host = '{r.split('/', 1)[0]}' OR suffix(host, '.{r.split('/', 1)[0]}')) AND prefix(path, '/{r.split('/', 1)[1]}')"
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in ordered) + " END"
     verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in ordered) + " END"
-    d, steps = linkrank.DAMPING, []
-    for name, seed, a, b in (("t", "allow", "src", "dst"), ("b", "block", "dst", "src")):
-        steps.append(f"{name}0 AS (SELECT host, {seed} AS seed, {seed} * {1 - d} AS score FROM hosts)")
-        steps.append(f"{name}e AS (SELECT {a} AS x, {b} AS y, weight / SUM(weight) OVER (PARTITION BY {a}) AS p FROM edges)")
-        for k in range(1, linkrank.STEPS + 1):
-            steps.append(f"{name}{k} AS (SELECT h.host, h.seed, h.seed * {1 - d} + coalesce(f.flow, 0) * {d} AS score FROM {name}{k - 1} h LEFT JOIN (SELECT y, SUM(p * score) AS flow FROM {name}e JOIN {name}{k - 1} s ON x = s.host GROUP BY y) f ON f.y = h.host)")
+    walks = """t AS (SELECT 0 AS k, host, allow AS seed, allow AS score FROM hosts
+      UNION ALL SELECT t.k + 1, t.host, any_value(t.seed), any_value(t.seed) + 0.85 * coalesce(SUM(e.p * s.score), 0) FROM t LEFT JOIN shares e ON e.dst = t.host LEFT JOIN t s ON s.host = e.src
+        WHERE t.k < 200 AND EXISTS (SELECT 1 FROM shares) GROUP BY t.k, t.host),
+    b AS (SELECT 0 AS k, host, block AS seed, block AS score FROM hosts
+      UNION ALL SELECT b.k + 1, b.host, any_value(b.seed), any_value(b.seed) + (1 - any_value(b.seed)) * 0.85 * coalesce(SUM(e.p * s.score), 0) FROM b LEFT JOIN shares e ON e.src = b.host LEFT JOIN b s ON s.host = e.dst
+        WHERE b.k < 200 AND EXISTS (SELECT 1 FROM shares) GROUP BY b.k, b.host)"""
     return f"""
-    WITH u AS (SELECT page_id, {host} AS host, {path} AS path FROM pages), r AS (SELECT *, {rule} AS rule FROM u), v AS (SELECT *, {verdict} AS own FROM r),
+    WITH RECURSIVE u AS (SELECT page_id, {host} AS host, {path} AS path FROM pages), r AS (SELECT *, {rule} AS rule FROM u), v AS (SELECT *, {verdict} AS own FROM r),
     links AS (SELECT {host} AS src, translate(unnest({links}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM pages),
     edges AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM links WHERE src <> dst AND src <> '' GROUP BY 1, 2),
+    shares AS (SELECT src, dst, weight / SUM(weight) OVER (PARTITION BY src) AS p FROM edges),
     seeds AS (SELECT host, avg(CASE WHEN own = 'allow' THEN 1.0 ELSE 0.0 END) AS allow, avg(CASE WHEN own = 'block' THEN 1.0 ELSE 0.0 END) AS block FROM v GROUP BY 1
       UNION ALL SELECT src, 0.0, 0.0 FROM edges UNION ALL SELECT dst, 0.0, 0.0 FROM edges),
-    hosts AS (SELECT host, max(allow) AS allow, max(block) AS block FROM seeds GROUP BY 1), {", ".join(steps)}
-    SELECT page_id, v.host, path, rule, coalesce(own, CASE WHEN b.score >= {linkrank.BLOCK_AT * (1 - d)} AND b.score > t.score THEN 'block' ELSE 'allow' END) AS verdict
-    FROM v JOIN t{linkrank.STEPS} t ON t.host = v.host JOIN b{linkrank.STEPS} b ON b.host = v.host"""
+    hosts AS (SELECT host, max(allow) AS allow, max(block) AS block FROM seeds GROUP BY 1), {walks},
+    trust AS (SELECT host, arg_max(score, k) AS score FROM t GROUP BY 1), blame AS (SELECT host, arg_max(score, k) AS score FROM b GROUP BY 1)
+    SELECT page_id, v.host, path, rule, coalesce(own, CASE WHEN b.score >= 0.425 AND b.score > t.score THEN 'block' ELSE 'allow' END) AS verdict
+    FROM v JOIN trust t ON t.host = v.host JOIN blame b ON b.host = v.host"""
 
 
 REPEATS = f"""
