@@ -3,7 +3,8 @@
 1.  Each text is measured once (Arrow batches, whole texts); what goes on is a few numbers per document.
 2.  Failures are counted per host (here: per source) by partial aggregation, so a host of any size is a row per task.
 3.  The hosts' failure rates have a Beta prior fitted to them by moments; a host's rate is its posterior mean, so
-    that a host of few documents is not condemned by them. A host fails above HOST_LIMIT.
+    that a host of few documents is not condemned by them. A host fails if its odds of a failure are, with some
+    certainty (posterior mean less CERTAINTY standard deviations), more than ODDS times those of all documents.
 4.  The host verdicts are joined back; a document is kept if it and its host pass.
 """
 
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import textops
@@ -21,8 +22,8 @@ from parlance.runtime import materialize, ship, small_or_shuffled
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 SYMBOLS = "#*$%&|<>"
-#: A host fails if more than this share of its documents does, by posterior mean.
-HOST_LIMIT = 0.75
+#: A host's odds of a failure may be ODDS times the pooled ones, judged CERTAINTY standard deviations below its mean.
+ODDS, CERTAINTY = 4.0, 2.0
 #: Bounds of the prior's weight in documents.
 LEAST_PRIOR, MOST_PRIOR = 2.0, 1000.0
 
@@ -71,30 +72,36 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def host_rates(measured: DataFrame) -> DataFrame:
-    """(host, documents, failures, rate, prior_a, prior_b): rate is the posterior mean of the host's failure rate."""
-    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("base_failed").cast("long")).alias("failures"))
-    every = Window.partitionBy(F.lit(0))
-    raw = F.col("failures") / F.col("documents")
-    x = hosts.withColumn("_m", F.sum("failures").over(every) / F.sum("documents").over(every)).withColumn("_d", (raw - F.col("_m")) * (raw - F.col("_m")))
-    x = x.withColumn("_v", F.avg("_d").over(every))
-    weight = F.when(F.col("_v") > 0, F.least(F.lit(MOST_PRIOR), F.greatest(F.lit(LEAST_PRIOR), F.col("_m") * (1 - F.col("_m")) / F.col("_v") - 1))).otherwise(F.lit(MOST_PRIOR))
-    x = x.withColumn("prior_a", F.col("_m") * weight).withColumn("prior_b", (1 - F.col("_m")) * weight)
-    rate = (F.col("failures") + F.col("prior_a")) / (F.col("documents") + F.col("prior_a") + F.col("prior_b"))
-    return x.select("host", "documents", "failures", rate.alias("rate"), "prior_a", "prior_b")
-
+def host_rates(measured: DataFrame, odds: float = ODDS, certainty: float = CERTAINTY) -> DataFrame:
+    """(host, documents, failures, rate, limit, passes) from (host, base_failed): rate is the posterior mean of the host's failure rate.
 
-def judge(docs: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
+    The prior comes from two sums over the hosts, which are all that the driver sees.
+    """
+    hosts = materialize(measured.groupBy("host").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("base_failed").cast("long")).alias("failures")), "host-counts")
+    raw = F.col("failures") / F.col("documents")
+    pooled = hosts.agg((F.sum("failures") / F.sum("documents")).alias("mean"), F.avg(raw).alias("one"), F.avg(raw * raw).alias("two")).first()
+    mean = pooled["mean"] or 0.0
+    spread = (pooled["two"] or 0.0) - 2 * mean * (pooled["one"] or 0.0) + mean * mean
+    weight = min(MOST_PRIOR, max(LEAST_PRIOR, mean * (1 - mean) / spread - 1)) if spread > 0 else MOST_PRIOR
+    limit = odds * mean / (1 - mean + odds * mean)
+    n = F.col("documents") + weight
+    rate = (F.col("failures") + mean * weight) / n
+    lower = rate - certainty * F.sqrt(rate * (1 - rate) / (n + 1))
+    return hosts.select("host", "documents", "failures", rate.alias("rate"), F.lit(limit).alias("limit"), (lower <= limit).alias("passes"))
+
+
+def judge(docs: DataFrame, host: str = "source", odds: float = ODDS, certainty: float = CERTAINTY) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate, kept.
 
-    Columns read: doc_id, text and `host`. A null text has no words (and so fails); documents with a null host share one.
-    Repeated rows count as often as they are there.
+    Columns read: doc_id, text and `host`; others may have any name. A null text has no words (and so fails); documents
+    with a null host share one; a null doc_id stays null. Repeated rows count as often as they are there. Texts of any
+    length are measured whole. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
     x = source.mapInArrow(measure, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     x = materialize(x.withColumn("base_failed", failed), "host-measured")
-    rates = materialize(host_rates(x), "host-rates").select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"))
-    x = x.join(small_or_shuffled(rates), F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    return x.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_limit))
+    rates = materialize(host_rates(x, odds, certainty), "host-rates").select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), F.col("passes").alias("_passes"))
+    x = x.join(small_or_shuffled(rates), F.col("host").eqNullSafe(F.col("_host")))
+    return x.withColumn("kept", ~F.col("base_failed") & F.col("_passes")).drop("_host", "_passes")

@@ -28,7 +28,8 @@ from parlance.runtime import materialize, packed, small_or_shuffled
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Documents of a shard, and the most shards of a source (so that a source's shards fit one window).
+#: Documents of a shard, and the most shards of a source (so that a source's shards fit one window): beyond
+#: SHARD_DOCS * MAX_SHARDS documents of a source its shards have more documents each.
 SHARD_DOCS, MAX_SHARDS = 2048, 4096
 #: Tokens of a block at most; smaller if the smallest target has fewer than MIN_BLOCKS of those.
 MAX_BLOCK, MIN_BLOCKS = 1024, 1024
@@ -44,18 +45,23 @@ def seeded(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, 15), 16, 10).cast("long")
 
 
-def quotas(parties: DataFrame, within: list[str], votes: str, seats: str, order: list[Column], out: str) -> DataFrame:
+def quotas(parties: DataFrame, within: list[str], votes: str, seats: str, order: list[Column], out: str, most: str | None = None) -> DataFrame:
     """Adds column `out`: the party's seats by highest quotient votes / (k + 1/2).
 
     within: columns of the groups among which `seats` (the same in all rows of a group) are dealt; ties
-    go by `order`, which must be unique in a group. A party without votes gets none.
+    go by `order`, which must be unique in a group. A party without votes gets none. most: column of the seats that a
+    party may have; what it cannot take goes to the next highest quotients of others, which are ranked up to twice the number
+    of parties beyond the seats, so that a party may be over its most by rounding only.
     """
     group = Window.partitionBy(*[F.col(c) for c in within]) if within else Window.partitionBy(F.lit(0))
     total, n = F.sum(F.col(votes).cast("double")).over(group), F.count(F.lit(1)).over(group)
     x = parties.withColumn("_s", total).withColumn("_n", n)
     share = F.when(F.col("_s") > 0, F.col(votes).cast("double") / F.col("_s")).otherwise(F.lit(0.0))
     low = F.floor(F.greatest(F.lit(0.0), share * (F.col(seats) - F.col("_n") / 2) - 0.5)).cast("long")
-    high = F.when(F.col(votes) > 0, F.floor(share * (F.col(seats) + F.col("_n") / 2) + 1.5).cast("long")).otherwise(F.lit(0).cast("long"))
+    ahead = F.col("_n") / 2 if most is None else 2 * F.col("_n") + 1
+    high = F.when(F.col(votes) > 0, F.floor(share * (F.col(seats) + ahead) + 1.5).cast("long")).otherwise(F.lit(0).cast("long"))
+    if most is not None:
+        low, high = F.least(low, F.col(most)), F.least(high, F.col(most))
     x = x.withColumn("_low", F.when(F.col(votes) > 0, low).otherwise(F.lit(0).cast("long"))).withColumn("_high", F.greatest(high, F.col("_low")))
     x = x.withColumn("_open", F.col(seats) - F.sum("_low").over(group))
     keys = [c for c in parties.columns]
@@ -94,13 +100,13 @@ def mix(docs: DataFrame, seed: str = "mix-1", budget: float = 1.5, cap: int = 2,
 
     taken = repeats * size + the lengths of the two spans of words (0-based, within the document), which are
     taken once more. The columns named are the only ones read; others may have any name. A null text has
-    size 0; a null source is a source of its own; a null doc_id is ordered as an empty string; repeated
-    rows are laid out one after the other, each in its own right. An empty table gives an empty result.
-    Sources of size 0 have target 0.
+    size 0; a null source is a source of its own; a null doc_id counts as an empty string. A row's shard and place hang
+    on doc_id and text, so rows of one doc_id, or with none, are spread; rows that are equal in both are laid out one after
+    the other, each in its own right. A very long text may be cut by the spans. An empty table gives an empty result.
+    Sources of size 0 have target 0. The rows of all sources, and of all shards of a source, pass one task.
     """
     sized = materialize(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("tie"))
-        .withColumn("at", seeded(F.lit(seed), F.col("doc_id"))),
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("tie"), seeded(F.lit(seed), F.col(doc_id), F.md5(F.col(text))).alias("at")),
         "mix-sized",
     )
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
@@ -114,9 +120,8 @@ def mix(docs: DataFrame, seed: str = "mix-1", budget: float = 1.5, cap: int = 2,
     plan = small_or_shuffled(s.drop("weight", "blocks", "source_docs").withColumnRenamed("source", "_source"))
     d = sized.join(plan, sized["source"].eqNullSafe(plan["_source"])).drop("_source").withColumn("shard", F.pmod(F.col("at"), F.col("shards")))
     per_shard = d.groupBy("source_rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("block").alias("block"))
-    shards = quotas(per_shard, ["source_rank"], "shard_size", "source_quota", [F.col("shard")], "quota")
-    n = F.ceil(F.col("shard_size") / F.col("block")).cast("long")
-    shards = shards.withColumn("n", n).withColumn("quota", F.least(F.col("quota"), F.lit(cap) * F.col("n")))
+    per_shard = per_shard.withColumn("n", F.ceil(F.col("shard_size") / F.col("block")).cast("long")).withColumn("_most", F.lit(cap) * F.col("n"))
+    shards = quotas(per_shard, ["source_rank"], "shard_size", "source_quota", [F.col("shard")], "quota", "_most")
     shards = shards.withColumn("repeats", F.when(F.col("n") > 0, F.floor(F.col("quota") / F.col("n"))).otherwise(0).cast("long"))
     shards = shards.withColumn("_more", F.col("quota") - F.col("repeats") * F.col("n"))
     shards = shards.withColumn("_from", F.when(F.col("n") > 0, F.pmod(seeded(F.lit(seed), F.lit("offset"), F.col("source_rank"), F.col("shard")), F.col("n"))).otherwise(0))

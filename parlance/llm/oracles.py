@@ -11,18 +11,20 @@ def _hash(*parts: str) -> str:
     return "('0x' || substring(md5(" + " || ':' || ".join(f"coalesce(CAST({p} AS VARCHAR), '')" for p in parts) + "), 1, 15))::BIGINT"
 
 
-def _quotas(parties: str, within: str, votes: str, seats: str, order: str, columns: str) -> str:
-    """Highest quotients votes / (k + 1/2): all k below a bound are ranked, which is the definition itself."""
+def _quotas(parties: str, within: str, votes: str, seats: str, order: str, columns: str, most: str = "") -> str:
+    """Highest quotients votes / (k + 1/2): all k below a bound are ranked, which is the definition itself; those from `most` on do not exist."""
     group = f"PARTITION BY {within}" if within else ""
+    bound = f"CAST(floor(p.{votes} / p.total * (p.{seats} + 2 * p.parties) + 3.5) AS BIGINT)"
+    bound = f"least({bound}, {most})" if most else bound
     return f"""(SELECT {columns}, CAST(count(CASE WHEN rank <= {seats} THEN 1 END) AS BIGINT) AS quota FROM
         (SELECT *, row_number() OVER ({group} ORDER BY CASE WHEN k IS NULL THEN -1.0 ELSE {votes} / (k + 0.5) END DESC, {order}, k) AS rank FROM
           (SELECT p.*, CAST(u.k AS BIGINT) AS k FROM (SELECT *, SUM({votes}) OVER ({group}) AS total, count(*) OVER ({group}) AS parties FROM {parties}) p
-            LEFT JOIN LATERAL (SELECT unnest(range(0, CASE WHEN p.total > 0 AND p.{votes} > 0 THEN CAST(floor(p.{votes} / p.total * (p.{seats} + p.parties / 2) + 1.5) AS BIGINT) ELSE 0 END)) AS k) u ON true) a) b
+            LEFT JOIN LATERAL (SELECT unnest(range(0, CASE WHEN p.total > 0 AND p.{votes} > 0 THEN {bound} ELSE 0 END)) AS k) u ON true) a) b
         GROUP BY {columns})"""
 
 
 def mix(seed: str = "mix-1") -> str:
-    at, offset = _hash(f"'{seed}'", "doc_id"), _hash(f"'{seed}'", "'offset'", "source_rank", "shard")
+    at, offset = _hash(f"'{seed}'", "doc_id", "md5(text)"), _hash(f"'{seed}'", "'offset'", "source_rank", "shard")
     return f"""
     WITH sized AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, {at} AS spot FROM documents),
     src AS (SELECT *, CAST([5, 2, 1][(source_rank - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * 2.0 AS cap FROM
@@ -36,9 +38,9 @@ def mix(seed: str = "mix-1") -> str:
     parties AS (SELECT *, CAST(round(SUM(target) OVER () / block) AS BIGINT) AS seats FROM blocks),
     sq AS (SELECT source, source_rank, source_size, target, block, shards, quota AS source_quota FROM {_quotas("parties", "", "target", "seats", "source_rank", "source, source_rank, source_size, target, block, shards")} q),
     docs AS (SELECT d.*, s.source_rank, s.source_size, s.target, d.spot % s.shards AS shard FROM sized d JOIN sq s ON d.source IS NOT DISTINCT FROM s.source),
-    per AS (SELECT d.source_rank, d.shard, CAST(SUM(size) AS BIGINT) AS shard_size, any_value(source_quota) AS seats, any_value(block) AS block FROM docs d JOIN sq s ON d.source_rank = s.source_rank GROUP BY 1, 2),
-    cut AS (SELECT *, CAST(ceil(shard_size / block) AS BIGINT) AS n FROM {_quotas("per", "source_rank", "shard_size", "seats", "shard", "source_rank, shard, shard_size, seats, block")} q),
-    chosen AS (SELECT *, CASE WHEN n > 0 THEN least(quota, 2 * n) // n ELSE 0 END AS repeats, CASE WHEN n > 0 THEN least(quota, 2 * n) % n ELSE 0 END AS more, CASE WHEN n > 0 THEN {offset} % n ELSE 0 END AS first FROM cut),
+    per AS (SELECT d.source_rank, d.shard, CAST(SUM(size) AS BIGINT) AS shard_size, any_value(source_quota) AS seats, any_value(block) AS block, CAST(ceil(SUM(size) / any_value(block)) AS BIGINT) AS n FROM docs d JOIN sq s ON d.source_rank = s.source_rank GROUP BY 1, 2),
+    cut AS (SELECT * FROM {_quotas("per", "source_rank", "shard_size", "seats", "shard", "source_rank, shard, shard_size, seats, block, n", "2 * p.n")} q),
+    chosen AS (SELECT *, CASE WHEN n > 0 THEN quota // n ELSE 0 END AS repeats, CASE WHEN n > 0 THEN quota % n ELSE 0 END AS more, CASE WHEN n > 0 THEN {offset} % n ELSE 0 END AS first FROM cut),
     spans AS (SELECT *, first * block AS a1, least(least(first + more, n) * block, shard_size) AS b1, greatest(first + more - n, 0) * block AS b2 FROM chosen),
     laid AS (SELECT *, SUM(size) OVER (PARTITION BY source_rank, shard ORDER BY spot, doc_id, size ROWS UNBOUNDED PRECEDING) AS stop FROM docs)
     SELECT doc_id, size, source_size, target, CAST(repeats * size + greatest(least(stop, b1) - greatest(stop - size, a1), 0) + greatest(least(stop, b2) - greatest(stop - size, 0), 0) AS BIGINT) AS taken, source
@@ -91,7 +93,8 @@ RULES = f"""
     h AS (SELECT source, count(*) AS n, count(CASE WHEN base_failed THEN 1 END) AS f FROM b GROUP BY 1),
     p AS (SELECT *, SUM(f) OVER () / SUM(n) OVER () AS mean FROM h), q AS (SELECT *, avg((f / n - mean) * (f / n - mean)) OVER () AS v FROM p),
     s AS (SELECT *, CASE WHEN v > 0 THEN least({host_rules.MOST_PRIOR}, greatest({host_rules.LEAST_PRIOR}, mean * (1 - mean) / v - 1)) ELSE {host_rules.MOST_PRIOR} END AS k FROM q),
-    z AS (SELECT source, (f + mean * k) / (n + k) AS rate FROM s)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= {host_rules.HOST_LIMIT} AS kept FROM b JOIN z ON b.source IS NOT DISTINCT FROM z.source"""
+    y AS (SELECT source, n + k AS n, (f + mean * k) / (n + k) AS rate, mean / (1 - mean) AS odds FROM s),
+    z AS (SELECT source, mean = 1 OR lower / (1 - lower) <= 4 * odds AS passes FROM (SELECT *, rate - 2 * sqrt(rate * (1 - rate) / (n + 1)) AS lower, odds / (1 + odds) AS mean FROM y) a)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passes AS kept FROM b JOIN z ON b.source IS NOT DISTINCT FROM z.source"""
 
 ORACLES = {"op1_source_mix": mix(), "op2_url_filter": judge(), "op5_substring_dedup": REPEATS, "op10_host_rules": RULES}
