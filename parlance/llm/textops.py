@@ -48,21 +48,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and the n + 1 offsets of its values; null counts as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if column.null_count:
-        column = column.fill_null("")
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary column without nulls and the n + 1 offsets of its values."""
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column and the n + 1 offsets of its values; null counts as empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return raw(column.fill_null("") if column.null_count else column)
+
+
 def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of documents of at most `limit` bytes together, or of one longer document."""
     i, n = 0, len(offsets) - 1
