@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Callable, Container, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -55,84 +57,83 @@ def split_alnum(word: str) -> list[str]:
     return out
 
 
-class _Numbers:
-    """Reads spoken numbers from a list of words."""
-
-    def __init__(self, words: Sequence[str]):
-        self.words = words
-
-    def word(self, i: int) -> str:
-        return self.words[i] if i < len(self.words) else ""
-
-    def below_hundred(self, i: int) -> tuple[int, int]:
-        """(value, words used) of a number under 100, (0, 0) if there is none."""
-        w = self.word(i)
-        simple = UNITS.get(w, ORDINALS.get(w))
-        if simple is not None:
-            return simple, 1
-        if w not in TENS:
-            return 0, 0
-        unit = UNITS.get(self.word(i + 1), ORDINALS.get(self.word(i + 1), 0))
-        return (TENS[w] + unit, 2) if 0 < unit < 10 else (TENS[w], 1)
-
-    def read(self, i: int) -> tuple[str, int]:
-        """(digits, words used) of the number that starts at i, ('', 0) if none does."""
-        start, whole, part, seen = i, 0, 0, False
-        if self.word(i) == "a":
-            if self.word(i + 1) not in SCALES:
-                return "", 0
-            i, part, seen = i + 1, 1, True
-        while True:
-            value, used = self.below_hundred(i)
-            if used:
-                if seen and part % 100:
-                    break
-                part, seen, i = part + value, True, i + used
-            elif seen and self.word(i) in SCALES:
-                scale = SCALES[self.word(i)]
-                part = part or 1
-                whole, part = (whole, part * 100) if scale == 100 else (whole + part * scale, 0)
-                i += 1
-            elif seen and self.word(i) == "and" and self.below_hundred(i + 1)[1] and part > 0 and (part % 100 == 0 or part >= 100):
-                i += 1
-            else:
-                break
-        if not seen:
-            return "", 0
-        value = whole + part
-        if value in (19, 20) and not whole:
-            late, used = self.below_hundred(i)
-            if used and late >= 10:
-                return str(value * 100 + late), i + used - start
-        if self.word(i) == "point":
-            j = i + 1
-            while UNITS.get(self.word(j), 10) < 10:
-                j += 1
-            if j > i + 1:
-                return f"{value}." + "".join(str(UNITS[w]) for w in self.words[i + 1 : j]), j - start
-        return str(value), i - start
-
-    def all(self) -> list[str]:
-        out, i = [], 0
-        while i < len(self.words):
-            digits, used = self.read(i)
-            out.append(digits if used else self.words[i])
-            i += used or 1
-        return out
+# Spoken numbers are a pattern over kinds of words, a letter for each word.
+_KINDS = {"a": "a", "and": "n", "point": "p", "hundred": "h"} | {w: "k" for w in SCALES if w != "hundred"} | {w: "t" for w in TENS}
+_KINDS |= {w: "z" if v == 0 else "u" if v < 10 else "e" for w, v in UNITS.items()} | {w: "o" if v < 10 else "e" for w, v in ORDINALS.items()}
+_VALUES = UNITS | ORDINALS | TENS | {"a": 1}
+_UNDER = "(?:t[uo]?|[euo])"  # one to ninety-nine
+_AND = "n(?=[teuoz])"  # said after a hundred, before more of the number
+#: Zeros and a number under a hundred (or "a"), then as often as may be: hundred and what may follow it, or a larger scale.
+_NUMBER = re.compile(f"(?:a(?=[hk])|z+{_UNDER}?|{_UNDER})(?:h(?:z|{_AND})*(?:{_UNDER}(?:{_AND})?)?|kz*{_UNDER}?)*")
+_YEAR_END, _DECIMALS = re.compile("e|t[uo]?"), re.compile("p([zu]+)")
+
+
+def _split_at(words: Sequence[str], marks: Container[str]) -> tuple[list[list[str]], list[str]]:
+    """The stretches of words between marks, and the marks."""
+    found = [i for i, w in enumerate(words) if w in marks]
+    return [list(words[a + 1 : b]) for a, b in zip([-1, *found], [*found, len(words)])], [words[i] for i in found]
+
+
+def _worth(words: Sequence[str]) -> int:
+    """The value of words that _NUMBER fits."""
+    parts, scales = _split_at(words, SCALES.keys() - {"hundred"})
+    values = []
+    for part in parts:
+        pieces = [sum(_VALUES.get(w, 0) for w in piece) for piece in _split_at(part, {"hundred"})[0]]
+        values.append(reduce(lambda v, more: (v or 1) * 100 + more, pieces))
+    return sum((v or 1) * SCALES[s] for v, s in zip(values, scales)) + values[-1]
+
+
+def spoken_numbers(words: Sequence[str]) -> list[str]:
+    """words with numbers that are said in words as digits: 19 or 20 and a number from ten on are a year, digits after "point" decimals."""
+    kinds = "".join(_KINDS.get(w, "-") for w in words)
+    out, i = [], 0
+    while i < len(words):
+        number = _NUMBER.match(kinds, i)
+        if number is None:
+            out.append(words[i])
+            i += 1
+            continue
+        said, i = words[i : number.end()], number.end()
+        value = _worth(said)
+        year = _YEAR_END.match(kinds, i) if value in (19, 20) and "k" not in number[0] else None
+        decimals = _DECIMALS.match(kinds, i)
+        if year:
+            out.append(str(100 * value + _worth(words[i : year.end()])))
+            i = year.end()
+        elif decimals:
+            out.append(f"{value}." + "".join(str(UNITS[w]) for w in words[i + 1 : decimals.end()]))
+            i = decimals.end()
+        else:
+            out.append(str(value))
+    return out
+
+
+class _Kept(dict[int, str]):
+    """A table for str.translate: letters, decimal digits and ' . , stay, all else becomes a space."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = c if c.isalpha() or c.isdecimal() or c in "'.," else " "
+        return self[point]
+
+
+_KEPT = _Kept({ord("%"): " percent "})
 
 
 def normalize_words(text: str | None) -> list[str]:
     """Words for scoring: lower case, no punctuation but inner apostrophes and numbers, no fillers, numbers as digits."""
-    low = (text or "").lower().replace("%", " percent ")
-    low = "".join(c if c.isalpha() or c.isdecimal() or c in "'.," else " " for c in low)
     found: list[str] = []
-    for word in low.split():
+    for word in (text or "").lower().translate(_KEPT).split():
         word = word.strip(".,'")
+        if word.isalpha():
+            found.append(word)
+            continue
         pieces = [word.replace(",", "")] if _numeric(word) or not re.search("[.,]", word) else re.split("[.,]", word)
         for piece in pieces:
             if piece:
                 found += split_alnum(piece)
-    return _Numbers(["okay" if w == "ok" else w for w in found if w not in FILLERS]).all()
+    return spoken_numbers(["okay" if w == "ok" else w for w in found if w not in FILLERS])
 
 
 def text_words(text: str | None) -> list[str]:
@@ -214,22 +215,21 @@ def word_distance(a: Sequence[str], b: Sequence[str]) -> int:
 
 def stem(word: str) -> str:
     """Without the first fitting ending that leaves three bytes."""
-    for end in SUFFIXES:
-        if word.endswith(end) and len(word.encode()) - len(end) >= 3:
-            return word[: -len(end)]
-    return word
+    return next((word[: -len(end)] for end in SUFFIXES if word.endswith(end) and len(word.encode()) >= len(end) + 3), word)
+
+
+#: Kinds of hunks in the order in which they are tried.
+HUNK_KINDS: dict[str, Callable[[Sequence[str], Sequence[str]], bool]] = {
+    "long run": lambda ref, hyp: min(len(ref), len(hyp)) == 0 and max(len(ref), len(hyp)) >= 8,
+    "split/join": lambda ref, hyp: "".join(ref) == "".join(hyp),
+    "small words": lambda ref, hyp: FUNCTION_WORDS >= {*ref, *hyp},
+    "word form": lambda ref, hyp: [*map(stem, ref)] == [*map(stem, hyp)],
+    "meaningful": lambda ref, hyp: True,
+}
 
 
 def hunk_kind(ref: Sequence[str], hyp: Sequence[str]) -> str:
-    if (len(ref) >= 8 and not hyp) or (len(hyp) >= 8 and not ref):
-        return "long run"
-    if "".join(ref) == "".join(hyp):
-        return "split/join"
-    if FUNCTION_WORDS.issuperset(ref) and FUNCTION_WORDS.issuperset(hyp):
-        return "small words"
-    if len(ref) == len(hyp) and all(stem(a) == stem(b) for a, b in zip(ref, hyp)):
-        return "word form"
-    return "meaningful"
+    return next(kind for kind, fits in HUNK_KINDS.items() if fits(ref, hyp))
 
 
 def diff_hunks(ref: Sequence[str], hyp: Sequence[str]) -> list[dict]:
@@ -254,15 +254,25 @@ def locate(ref: Sequence[str], before: Sequence[str], words: Sequence[str], afte
 
 
 def term_hits(ref: Sequence[str], hyp: Sequence[str], terms: Sequence[str]) -> dict[str, tuple[int, int]]:
-    """Per term: how often its words follow each other in ref, and how often all of them are matched in hyp."""
-    matched = {p for k, p in enumerate(alignment(ref, hyp)) if p >= 0 and ref[p] == hyp[k]}
-    out = {}
-    for term in terms:
-        t = normalize_words(term)
-        at = [i for i in range(len(ref) - len(t) + 1) if t and list(ref[i : i + len(t)]) == t]
-        if at:
-            out[term] = (len(at), sum(all(i + d in matched for d in range(len(t))) for i in at))
-    return out
+    """Per term: how often its words follow each other in ref, and how often all of them are matched in hyp.
+
+    Terms that ref has not are left out. For each length of terms, the grams of ref are looked up once.
+    """
+    right = np.zeros(len(ref) + 1, dtype=np.int64)
+    right[[p + 1 for k, p in enumerate(alignment(ref, hyp)) if p >= 0 and ref[p] == hyp[k]]] = 1
+    right = right.cumsum()
+    wanted: dict[int, dict[tuple[str, ...], list[str]]] = {}
+    for term in dict.fromkeys(terms):
+        words = tuple(normalize_words(term))
+        wanted.setdefault(len(words), {}).setdefault(words, []).append(term)
+    hits = Counter[str]()
+    whole = Counter[str]()
+    for n, names in wanted.items():
+        for i in range(len(ref) - n + 1) if n else ():
+            for term in names.get(tuple(ref[i : i + n]), ()):
+                hits[term] += 1
+                whole[term] += int(right[i + n] - right[i] == n)
+    return {term: (hits[term], whole[term]) for term in dict.fromkeys(terms) if hits[term]}
 
 
 def clean_name(name: str | None, limit: int = 100) -> str:

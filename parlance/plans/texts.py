@@ -65,7 +65,7 @@ def word_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DISTANCE = """
-    WITH RECURSIVE l AS (SELECT session_id, pos, string_split(text, ' ')[:8] AS ref, coalesce(lead(string_split(text, ' ')[:8]) OVER (PARTITION BY session_id ORDER BY pos), []) AS hyp FROM {segments} s),
+    WITH RECURSIVE l AS (SELECT session_id, pos, string_split(text, ' ') AS ref, coalesce(lead(string_split(text, ' ')) OVER (PARTITION BY session_id ORDER BY pos), []) AS hyp FROM {segments} s),
     d AS (SELECT session_id, pos, ref, hyp, 0 AS i, range(0, len(hyp) + 1) AS dist FROM l
       UNION ALL SELECT session_id, pos, ref, hyp, i + 1, list_reduce(list_transform(range(1, len(hyp) + 1), lambda j: [CAST(least(dist[j] + CASE WHEN hyp[j] = ref[i + 1] THEN 0 ELSE 1 END, dist[j + 1] + 1) AS BIGINT)]), lambda acc, x: list_append(acc, least(acc[len(acc)] + 1, x[1])), [CAST(i + 1 AS BIGINT)]) FROM d WHERE i < len(ref))
     SELECT session_id, pos, dist[len(dist)] AS edits FROM d WHERE i = len(ref)"""
