@@ -84,3 +84,21 @@ def change_point(values: DataFrame, by: list[str], order: str, value: str) -> Da
     x = values.withColumn("gain", after - before).withColumn("_edge", (r == 1) | (r == n)).withColumn("_r", r)
     best = x.groupBy(*by).agg(F.max(F.struct("gain", (-F.col("_r")).alias("_n"), F.col(order).alias("at"), "_edge")).alias("_b"))
     return best.filter("NOT _b._edge").select(*by, "_b.at", "_b.gain")
+
+
+def middle(values: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value): the value at place n / 2 (rounded down, from 0) of each group's n sorted ones, which is one of them."""
+    w = Window.partitionBy(*by)
+    x = values.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
+    return x.filter("_r = _n div 2 + 1").select(*by, value)
+
+
+def sliced(turns: DataFrame, start: int, end: int) -> DataFrame:
+    """The turns (start_ms, end_ms, ...) that start in [start, end), with times from start on, cut at end."""
+    inside = turns.filter((F.col("start_ms") >= start) & (F.col("start_ms") < end))
+    return inside.withColumn("start_ms", F.col("start_ms") - start).withColumn("end_ms", F.least(F.col("end_ms"), F.lit(end)) - start)
+
+
+def shifted(turns: DataFrame, ms: int) -> DataFrame:
+    """Turns moved by ms, later if positive."""
+    return turns.withColumn("start_ms", F.col("start_ms") + ms).withColumn("end_ms", F.col("end_ms") + ms)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.plans import scores, states, tables, texts, timeline, vectors
+from parlance.plans import live, scores, states, tables, texts, timeline, vectors
 
-MODULES = (timeline, scores, tables, vectors, texts, states)
+MODULES = (timeline, scores, tables, vectors, texts, states, live)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

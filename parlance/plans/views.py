@@ -25,6 +25,12 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         SELECT session_id, pos AS turn_pos, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS cluster,
           start_ms + 700 * (pos % 3) AS start_ms, end_ms + 500 * (pos % 2) AS end_ms FROM {segments} s""",
     "ext_spans": "SELECT session_id, 'N' || CAST(cluster AS STRING) AS name, start_ms + 37000 AS start_ms, end_ms + 37000 AS end_ms FROM {turns} t",
+    "looks": """
+        SELECT session_id, turn_pos AS look_id, start_ms + 300 * (turn_pos % 4) AS t, cluster, turn_pos % 9 = 4 AS several,
+          CASE WHEN turn_pos % 9 = 4 THEN '' WHEN cluster = 0 THEN 'Ann Lee' WHEN cluster = 1 THEN 'Bo Kimura' ELSE 'Cleo' END AS name FROM {turns} t""",
+    "people": """
+        SELECT session_id, cluster, label, CASE WHEN session_id % 5 = 0 AND cluster = 1 THEN 'Ann Lee' WHEN cluster = 0 THEN 'Ann Lee' WHEN cluster = 1 THEN 'Bo Kimura' ELSE '' END AS name
+        FROM (SELECT DISTINCT session_id, cluster, 'Person ' || CAST(cluster + 1 AS STRING) AS label FROM {turns} t) p""",
     "words": (
         """SELECT session_id, pos, CAST(i AS BIGINT) AS w_pos, word, start_ms + (end_ms - start_ms) * i div n_words AS start_ms, start_ms + (end_ms - start_ms) * (i + 1) div n_words AS end_ms
         FROM (SELECT session_id, pos, n_words, start_ms, end_ms, posexplode(split(text, ' ')) AS (i, word) FROM {segments} s) w""",
