@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.functions.labels import same_name, snap_limit
+
 # Words of overlays, badges and toolbars, prefixes and suffixes of titles, ranges of scripts.
 NOISE = ("privacy", "muted", "mute", "recording", "live")
 BADGES = ("voice isolation", "noise suppressed", "noise suppression")
@@ -104,6 +107,57 @@ def evenly_picked(df: DataFrame, by: list[str], order: list[str], n: int) -> Dat
     return x.filter((F.col("_m") <= n) | F.array_contains(places, F.col("_r").cast("long"))).drop("_r", "_m")
 
 
+def near_pairs(left: DataFrame, right: DataFrame, a: str, b: str, parts: Callable[[Column], Column], lengths: Callable[[Column], Column], fits: Column, heads: bool = False) -> DataFrame:
+    """Rows of left and right whose texts a and b are few edits apart, as `fits` tells; with heads also those of which one begins the other.
+
+    No text meets all others. Of two that are d edits apart, the longer one cut in d + 1 parts has a part that stands in the
+    other as it is: parts(text) is d + 1 for a longer text, lengths(text) are the lengths that a part may have for a shorter
+    one, whose stretches of these lengths are joined to the parts. Beginnings are joined to whole texts.
+    """
+
+    def cut(df: DataFrame, key: str) -> DataFrame:
+        text = F.col(key)
+        n, k = F.length(text), parts(text).cast("int")
+        at = lambda i: F.floor(n * i / k).cast("int")
+        found = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.concat(F.lit("="), text.substr(at(i) + 1, at(i + 1) - at(i))))
+        if heads:
+            found = F.concat(found, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit("^"), text.substr(F.lit(1), i))))
+        return df.withColumn("_key", F.explode(F.array_distinct(found)))
+
+    def stretches(df: DataFrame, key: str) -> DataFrame:
+        text = F.col(key)
+        places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+        found = F.flatten(F.transform(places, lambda i: F.transform(lengths(text), lambda k: F.concat(F.lit("="), text.substr(i, k.cast("int"))))))
+        if heads:
+            found = F.concat(found, F.array(F.concat(F.lit("^"), text)))
+        return df.withColumn("_key", F.explode(F.array_distinct(found)))
+
+    both = [cut(left, a).join(stretches(right, b), "_key"), stretches(left, a).join(cut(right, b), "_key")]
+    first, second = [x.drop("_key").filter(fits).select(*left.columns, *right.columns) for x in both]
+    return first.unionByName(second).distinct()
+
+
+def alike_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of left (a, a_key, ...) with those of right (b, b_key, ...) whose keys (normalized names) are one person's by same_name.
+
+    A name of n bytes may be n / 8 edits off (one at least), so no part of it is longer than 8.
+    """
+    parts = lambda k: F.greatest(F.lit(1), F.floor(F.octet_length(k) / 8)) + 1
+    return near_pairs(left, right, "a_key", "b_key", parts, lambda k: F.sequence(F.lit(1), F.lit(8)), same_name(F.col("a_key"), F.col("b_key")), heads=True)
+
+
+def snapped_pairs(read: DataFrame, invited: DataFrame) -> DataFrame:
+    """(name, invitee) of read (name) and invited (invitee) that are within the edits of snap_limit."""
+    limit = lambda n: F.least(F.lit(2), F.floor(n / 5))
+
+    def lengths(k: Column) -> Column:
+        whole = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda more: F.floor((F.length(k) + more) / (limit(F.length(k) + more) + 1)))
+        return F.array_distinct(F.flatten(F.transform(whole, lambda n: F.array(n, n + 1))))
+
+    fits = F.levenshtein("name", "invitee") <= snap_limit(F.col("name"), F.col("invitee"))
+    return near_pairs(read, invited, "name", "invitee", lambda k: limit(F.length(k)) + 1, lengths, fits)
+
+
 def renamed(lines: DataFrame, names: DataFrame) -> DataFrame:
     """lines (speaker, live_speaker, ...) with labels renamed by names (label, new_label); what was live stays known."""
     x = lines.join(names, F.col("speaker") == F.col("label"), "left")

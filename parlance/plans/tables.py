@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import labels
+from parlance.operators import names
 from parlance.operators.sequence import evenly_thinned, every_nth, nearest_rank
 from parlance.plans.views import duckdb, load
 from parlance.runtime import read_table
@@ -194,15 +195,10 @@ def ordered_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names (with a letter lost) and the unique nearest name of another list within the edit limit; a tie snaps nothing.
-
-    Both lists are distinct names: tables of the size of a vocabulary, and one is broadcast after a count.
-    """
-    from parlance.runtime import small_or_shuffled
-
+    """Part names (with a letter lost) and the unique nearest name of another list within the edit limit; a tie snaps nothing."""
     p = read_table(spark, sf_dir, "part").select("p_name").distinct()
     read = p.select(F.concat(F.substring("p_name", 1, 3), F.expr("substring(p_name, 5)")).alias("name")).distinct()
-    pairs = read.join(small_or_shuffled(p.select(F.col("p_name").alias("invitee"))), F.levenshtein("name", "invitee") <= labels.snap_limit(F.col("name"), F.col("invitee")))
+    pairs = names.snapped_pairs(read, p.withColumnRenamed("p_name", "invitee"))
     d = pairs.withColumn("d", F.levenshtein("name", "invitee").cast("long"))
     best = d.withColumn("_m", F.min("d").over(Window.partitionBy("name"))).filter("d = _m").groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.min("invitee").alias("invitee"), F.min("d").alias("d"))
     return read.join(best, "name", "left").select("name", F.when(F.col("_n") == 1, F.col("invitee")).otherwise(F.col("name")).alias("snapped"), F.coalesce("_n", F.lit(0)).cast("long").alias("candidates"))
