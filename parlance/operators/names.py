@@ -60,6 +60,19 @@ def meeting_name(window: Column) -> Column:
     return F.when(window.contains(" — ") & (app.contains("teams") | app.contains("zoom")) & ~other, title).otherwise(F.lit(""))
 
 
+def called_person(window: Column) -> Column:
+    """Who a window of a call of two is titled for, without the app around the name; empty for titles of several parts or of the app."""
+    title = F.when(window.contains(" — "), F.substring_index(window, " — ", -1)).otherwise(window)
+    title = F.trim(F.regexp_replace(F.trim(title), re.escape(TITLE_SUFFIXES[0]).replace("\\ ", " ") + "$", ""))
+    return F.when((title == "") | title.contains("|") | (F.lower(title) == F.lower(F.lit(NO_TITLES[2]))), F.lit("")).otherwise(title)
+
+
+def call_toolbar(text: Column) -> Column:
+    """A toolbar as only calls of two have it: hold, and one of transfer, dial pad and consult."""
+    low = F.lower(text)
+    return low.contains("hold") & (low.contains("transfer") | low.contains("dial pad") | low.contains("consult"))
+
+
 def accepted_look(name: Column, usable: Column, fits: Column, cached: Column) -> Column:
     """The name of a look that is usable, plausible, and either remembered or read from a ring that can hold a label."""
     return F.when(usable & plausible(name) & (cached | fits), name)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.plans import audio, live, profiles, scores, states, tables, texts, timeline, vectors
+from parlance.plans import audio, live, profiles, scores, states, store, tables, texts, timeline, vectors
 
-MODULES = (timeline, scores, tables, vectors, texts, states, live, profiles, audio)
+MODULES = (timeline, scores, tables, vectors, texts, states, live, profiles, audio, store)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

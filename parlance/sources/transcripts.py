@@ -42,8 +42,8 @@ def turn_ends(turns: DataFrame, by: str = "path", media_end: float | None = None
     x = x.withColumn("_next", F.min("_ms").over(Window.partitionBy(by).orderBy("_ms").rangeBetween(1, Window.unboundedFollowing)) / 1000)
     tie = Window.partitionBy(by, "_ms")
     x = x.withColumn("_n", F.count(F.lit(1)).over(tie)).withColumn("_r", F.row_number().over(tie.orderBy(words.desc(), "turn")))
-    last = F.lit(media_end) if media_end is not None else F.lit(None).cast("double")
-    end = F.when(F.col("_r") > 1, estimate).otherwise(F.coalesce("_next", F.greatest(last, F.col("start")), estimate))
+    last = F.greatest(F.lit(media_end), F.col("start")) if media_end is not None else estimate
+    end = F.when(F.col("_r") > 1, estimate).otherwise(F.coalesce("_next", last))
     return x.withColumn("end", end).withColumn("overlapping", F.col("_n") > 1).drop("_ms", "_next", "_n", "_r")
 
 
