@@ -73,12 +73,23 @@ def min_gap_thin(df: DataFrame, by: Sequence[str], at: str, tie: str, gap: int)
 
 
 def nearest_rank(values: str, q: float) -> Column:
-    """Aggregate: sorted[min(n - 1, int(q * n))], 0 for no values; not interpolated."""
+    """Aggregate, for groups that fit in a row: sorted[min(n - 1, int(q * n))], 0 for no values; not interpolated."""
     found = F.sort_array(F.collect_list(values))
     n = F.size(found)
     return F.when(n > 0, F.element_at(found, F.least(n - 1, F.floor(n * F.lit(q))).cast("int") + 1)).otherwise(F.lit(0))
 
 
+def nearest_ranks(df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """(by, a column for each quantile q, n): sorted[min(n - 1, int(q * n))] of each group's n values; not interpolated.
+
+    The values of a group are ranked by a sort that can spill, not gathered.
+    """
+    w = Window.partitionBy(*by)
+    x = df.select(*by, F.col(value).alias("_v")).withColumn("_r", F.row_number().over(w.orderBy("_v")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    at = lambda q: F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(q)))
+    return x.groupBy(*by).agg(*[F.max(F.when(F.col("_r") == at(q), F.col("_v"))).alias(c) for c, q in quantiles.items()], F.count(F.lit(1)).alias("n"))
+
+
 def every_nth(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """Rows 0, n, 2n, ... of each group."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -254,7 +254,43 @@ _RUNS = "SELECT session_id, cluster, min(f) AS first, max(f) AS last FROM (SELEC
 _ALONE = f"(SELECT *, count(*) OVER (PARTITION BY session_id, cluster) AS t FROM (SELECT session_id, f, CAST(min(hyp) AS BIGINT) AS cluster FROM {_HYPS} h GROUP BY 1, 2 HAVING count(*) = 1) a QUALIFY t >= 10)"
 _VOTED = f"(SELECT session_id, f, cluster FROM (SELECT session_id, f, cluster, row_number() OVER (PARTITION BY session_id, f ORDER BY count(*) DESC, cluster) AS rn FROM (SELECT session_id, CAST(hyp AS BIGINT) AS cluster, unnest([f, f + 3, f + 7]) AS f FROM {_HYPS} h) a GROUP BY session_id, f, cluster) b WHERE rn = 1)"
 _PERMUTATIONS = ["012", "021", "102", "120", "201", "210"]
+GREEDY = """
+    WITH RECURSIVE @PAIRS,
+    g AS (SELECT @BY, 0 AS k, CAST([] AS @L[]) AS l, CAST([] AS @R[]) AS r, CAST(NULL AS @L) AS a, CAST(NULL AS @R) AS b, CAST(NULL AS @W) AS w FROM (SELECT DISTINCT @BY FROM p) u
+      UNION ALL SELECT g.@BY, k + 1, list_append(g.l, x.a), list_append(g.r, x.b), x.a, x.b, x.w FROM g JOIN LATERAL (SELECT a, b, w FROM p WHERE p.@BY = g.@BY AND NOT list_contains(g.l, p.a) AND NOT list_contains(g.r, p.b) ORDER BY w DESC, a, b LIMIT 1) x ON true)
+    """
+
+
+def _greedy(pairs: str, left: str, right: str, weight: str, result: str, by: str = "session_id") -> str:
+    """Pairs p (by, a, b, w) taken greedily by weight, then a, then b; the result reads g, whose first rows have a null."""
+    return GREEDY.replace("@PAIRS", pairs).replace("@BY", by).replace("@L", left).replace("@R", right).replace("@W", weight) + result
+
+
 _SQL = {
+    "turns_captured": """WITH w AS (SELECT session_id, pos, word, count(*) AS n FROM (SELECT session_id, pos, unnest(string_split(lower(text), ' ')) AS word FROM {segments} s) a GROUP BY 1, 2, 3),
+        near AS (SELECT t.session_id, t.pos AS turn_pos, l.pos, l.role FROM {segments} t JOIN {segments} l ON l.session_id = t.session_id AND l.end_ms + 37000 >= t.start_ms - 5000 AND l.start_ms + 37000 <= t.end_ms + 5000),
+        one AS (SELECT n.session_id, n.turn_pos, n.pos, n.role, a.word, a.n AS want, b.n AS have FROM near n JOIN w a ON a.session_id = n.session_id AND a.pos = n.turn_pos JOIN w b ON b.session_id = n.session_id AND b.pos = n.pos AND b.word = a.word),
+        hits AS (SELECT session_id, turn_pos, SUM(least(want, have)) AS hits FROM (SELECT session_id, turn_pos, word, max(want) AS want, SUM(have) AS have FROM one GROUP BY 1, 2, 3) a GROUP BY 1, 2),
+        best AS (SELECT session_id, turn_pos, first(role ORDER BY h DESC, pos) AS role FROM (SELECT session_id, turn_pos, pos, role, SUM(least(want, have)) AS h FROM one GROUP BY 1, 2, 3, 4) a GROUP BY 1, 2)
+        SELECT s.session_id, s.pos AS turn_pos, CAST(coalesce(hits, 0) AS BIGINT) AS hits, coalesce(2 * hits >= s.n_words, false) AS found, CASE WHEN 2 * hits >= s.n_words THEN b.role END AS label
+        FROM {segments} s LEFT JOIN hits h ON h.session_id = s.session_id AND h.turn_pos = s.pos LEFT JOIN best b ON b.session_id = s.session_id AND b.turn_pos = s.pos""",
+    "speaker_agreement": _greedy("p AS (SELECT s.session_id, s.speaker AS a, t.cluster AS b, CAST(SUM(least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms)) AS BIGINT) AS w FROM {segments} s JOIN {turns} t ON t.session_id = s.session_id AND s.start_ms < t.end_ms AND t.start_ms < s.end_ms GROUP BY 1, 2, 3)",
+        "VARCHAR", "INT", "BIGINT", "SELECT g.session_id, CAST((SELECT SUM(w) FROM p WHERE p.session_id = g.session_id) AS BIGINT) AS total, CAST(SUM(w) AS BIGINT) AS agreed FROM g WHERE a IS NOT NULL GROUP BY 1"),
+    "match_profiles": _greedy(f"""q AS (SELECT vec_id % 10 AS session_id, label, i, SUM(x) AS s FROM {{vector_parts}} v WHERE vec_id % 2 = 1 GROUP BY 1, 2, 3),
+        u AS (SELECT q.*, s / sqrt(SUM(s * s) OVER (PARTITION BY session_id, label)) AS x FROM q), c AS (SELECT u.session_id, u.label AS a, e.label AS b, round(SUM(u.x * e.x), 6) AS w FROM u JOIN {vectors._EVEN} e ON e.i = u.i GROUP BY 1, 2, 3),
+        p AS (SELECT * FROM c WHERE w >= 0.1)""", "INT", "INT", "DOUBLE", "SELECT session_id, a AS voice, b AS label, w AS similarity FROM g WHERE a IS NOT NULL"),
+    "first_and_final_labels": """WITH s AS (SELECT *, greatest(ceil(start_ms / 20000), 1) * 20000 AS own, greatest(ceil(end_ms / 20000), 1) * 20000 AS until FROM {segments} g), t AS (SELECT *, greatest(ceil(greatest(start_ms, end_ms) / 20000), 1) * 20000 AS until FROM {turns} g),
+        e AS (SELECT session_id, max(until) AS until FROM (SELECT session_id, until FROM s UNION ALL SELECT session_id, until FROM t) a GROUP BY 1),
+        c AS (SELECT s.session_id, s.pos, s.start_ms, unnest(range(CAST(s.own AS BIGINT), CAST(e.until AS BIGINT) + 1, 20000)) AS cut FROM s JOIN e ON e.session_id = s.session_id),
+        l AS (SELECT c.session_id, c.pos, c.cut, first(t.cluster ORDER BY abs(t.start_ms - c.start_ms), CASE WHEN cut >= 100000 THEN -t.turn_pos ELSE t.turn_pos END, t.cluster) AS label FROM c JOIN t ON t.session_id = c.session_id AND t.start_ms <= c.cut GROUP BY 1, 2, 3),
+        p AS (SELECT *, lag(label) OVER (PARTITION BY session_id, pos ORDER BY cut) AS before FROM l)
+        SELECT session_id, pos, CAST(arg_min(label, cut) AS BIGINT) AS first, CAST(arg_max(label, cut) AS BIGINT) AS final, CAST(count(CASE WHEN before <> label THEN 1 END) AS BIGINT) AS changes, max(cut) - min(cut) AS span FROM p GROUP BY 1, 2""",
+    "clean_read_names": """WITH RECURSIVE r AS (SELECT p_partkey, list_filter(string_split(array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || [' Priv', ' fo', ' •.•', '', ' Muted'][p_partkey % 5 + 1], ' '), lambda w: w <> '') AS ws, false AS done FROM {part}
+          UNION ALL SELECT p_partkey, ws[:-2], noise FROM (SELECT *, len(list_filter(['privacy', 'muted', 'mute', 'recording', 'live'], lambda n: n = lower(ws[-1]) OR strlen(ws[-1]) >= 3 AND starts_with(n, lower(ws[-1])))) > 0 AS noise FROM r WHERE NOT done AND len(ws) >= 2) a
+            WHERE noise OR strlen(ws[-1]) <= 2 AND ws[-1] = lower(ws[-1]) OR NOT regexp_matches(ws[-1], '\\p{L}')),
+        f AS (SELECT p_partkey, arg_min(ws, len(ws)) AS ws FROM r GROUP BY 1),
+        u AS (SELECT *, len(list_filter(ws, lambda w: list_contains(['take', 'control', 'annotate', 'pop', 'out', 'chat', 'people', 'raise', 'react', 'view', 'notes', 'apps', 'more', 'camera', 'mic', 'share', 'leave'], lower(w)))) AS ui FROM f)
+        SELECT p_partkey, array_to_string(ws, ' ') AS name, length(regexp_replace(array_to_string(ws, ' '), '[^\\p{L}]', '', 'g')) >= 2 AND (ui < 2 OR 2 * ui <= len(ws)) AS fine FROM u""",
     "alone_ranges": _RUNS.replace("{x}", _ALONE + " a"),
     "voted_turns": f"SELECT session_id, cluster, min(f) AS first, max(f) AS last FROM (SELECT *, SUM(n) OVER (PARTITION BY session_id, cluster ORDER BY f) AS i FROM (SELECT *, CASE WHEN f - lag(f) OVER (PARTITION BY session_id, cluster ORDER BY f) - 1 <= 5 THEN 0 ELSE 1 END AS n FROM {_VOTED} v) a) b GROUP BY session_id, cluster, i HAVING max(f) - min(f) + 1 > 13",
     "word_accuracy": "SELECT bucket, CAST(grouping(bucket) AS BIGINT) AS is_total, CAST(SUM(w) AS BIGINT) AS words, CAST(SUM(CASE WHEN cluster = own THEN w ELSE 0 END) AS BIGINT) AS \"right\", CAST(SUM(CASE WHEN cluster < 0 THEN w ELSE 0 END) AS BIGINT) AS unlabeled FROM (SELECT x.cluster, x.n_words AS w, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS own, CASE WHEN s.n_words <= 3 THEN '1-3' WHEN s.n_words <= 15 THEN '4-15' WHEN s.n_words <= 60 THEN '16-60' ELSE '61+' END AS bucket FROM (" + timeline.SPLIT + ") x JOIN {segments} s ON s.session_id = x.session_id AND s.pos = x.pos) y GROUP BY ROLLUP (bucket)",

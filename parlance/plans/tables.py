@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import labels
 from parlance.operators import names
-from parlance.operators.sequence import evenly_thinned, every_nth, nearest_rank
+from parlance.operators.sequence import evenly_thinned, every_nth, nearest_ranks
 from parlance.plans.views import duckdb, load
 from parlance.runtime import read_table
 
@@ -99,14 +99,15 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approx_distinct_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate and exact numbers of suppliers by return flag."""
-    return read_table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_suppkey", 0.01).alias("about"), F.countDistinct("l_suppkey").alias("exact"))
+    """Numbers of suppliers by return flag, and whether the approximate count is within five hundredths of the exact one."""
+    x = read_table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_suppkey", 0.01).alias("about"), F.countDistinct("l_suppkey").alias("exact"))
+    return x.select("l_returnflag", "exact", (F.abs(F.col("about") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
 
 
 def nearest_rank_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and ninth decile by nearest rank, per event type and hour of the day."""
     e = load(spark, sf_dir, "event_ms").withColumn("hour", F.floor(F.col("t") / 3_600_000) % 24)
-    return e.groupBy("event_type", "hour").agg(nearest_rank("value", 0.5).alias("median"), nearest_rank("value", 0.9).alias("p90"), F.count(F.lit(1)).alias("n"))
+    return nearest_ranks(e, ["event_type", "hour"], "value", {"median": 0.5, "p90": 0.9})
 
 
 def stream_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +215,13 @@ _LABELLED = f"""(SELECT event_id, label, CASE WHEN trim(label) = 'You' THEN 'mic
     (SELECT *, CASE WHEN trim(label) IN ('', 'You') OR prefix(trim(label), 'Person ') OR prefix(trim(label), 'New speaker') OR suffix(trim(label), '?') OR suffix(trim(label), '?)') OR {_room("label")} THEN '' ELSE trim(label) END AS given,
       regexp_matches(trim(label), '^Person [0-9]+( \\(.*\\))?$') AS person, trim(regexp_extract(trim(label), '^Person [0-9]+ \\((.*)\\)$', 1)) AS inside FROM (SELECT event_id, {_LABELS} AS label FROM {{events}}) l) m)"""
 
+_LOOSE = lambda a, b: f"(lower(trim({a})) = lower(trim({b})) OR least(strlen({a}), strlen({b})) >= 4 AND (starts_with(lower({a}), lower({b})) OR starts_with(lower({b}), lower({a}))) OR least(strlen({a}), strlen({b})) >= 5 AND levenshtein(lower({a}), lower({b})) <= greatest(1, greatest(strlen({a}), strlen({b})) // 8) OR (NOT contains({a}, ' ') OR NOT contains({b}, ' ')) AND {a} <> '' AND string_split(lower({a}), ' ')[1] = string_split(lower({b}), ' ')[1])"
 _SQL = {
+    "approx_distinct_speakers": "SELECT l_returnflag, count(DISTINCT l_suppkey) AS exact, true AS close FROM {lineitem} GROUP BY 1",
+    "outcome_table": f"""WITH x AS (SELECT c.*, ['Ann Lee', 'Ann Leee', 'Board Room', 'Cy Roe'][event_id // 12 % 4 + 1] AS p FROM (@CLASSIFIED) c),
+        o AS (SELECT kind, CASE WHEN kind IN ('mic', 'room') THEN 'kept-' || kind WHEN kind = 'given' THEN CASE WHEN {_LOOSE('person', 'p')} THEN 'agree' ELSE 'kept-given' END
+          WHEN kind = 'named' THEN CASE WHEN lower(person) = lower(p) THEN 'agree' WHEN {_LOOSE('person', 'p')} THEN 'spelling' WHEN {_room('p')} AND NOT {_room('person')} THEN 'kept-room' ELSE 'replace' END ELSE 'fill' END AS outcome FROM x)
+        SELECT kind, outcome, CAST(count(*) AS BIGINT) AS n, outcome IN ('fill', 'spelling', 'replace') AS renames FROM o GROUP BY 1, 2""",
     "join_inner_left": "SELECT c_custkey, n_name, CAST(count(o_orderkey) AS BIGINT) AS orders, max(o_totalprice) AS largest FROM {customer} c JOIN {nation} n ON c_nationkey = n_nationkey LEFT JOIN {orders} o ON o_custkey = c_custkey GROUP BY c_custkey, n_name",
     "join_full_diff": "SELECT coalesce(a.k, b.k) AS k, n_open, n_done, CASE WHEN n_open IS NULL THEN 'removed' WHEN n_done IS NULL THEN 'added' ELSE 'both' END AS change FROM (SELECT o_custkey AS k, CAST(count(*) AS BIGINT) AS n_open FROM {orders} WHERE o_orderstatus = 'O' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, CAST(count(*) AS BIGINT) AS n_done FROM {orders} WHERE o_orderstatus = 'F' GROUP BY 1) b ON a.k = b.k",
     "semi_anti": "SELECT 'large' AS which, c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 300000) GROUP BY 2 UNION ALL SELECT 'none', c_mktsegment, CAST(count(*) AS BIGINT) FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders}) GROUP BY 2",
@@ -245,4 +252,5 @@ _SQL = {
     "fuzzy_names": """WITH p AS (SELECT DISTINCT p_name FROM {part}), r AS (SELECT DISTINCT substring(p_name, 1, 3) || substring(p_name, 5) AS name FROM p), d AS (SELECT r.name, p.p_name, levenshtein(r.name, p.p_name) AS d FROM r, p WHERE levenshtein(r.name, p.p_name) <= least(2, greatest(length(r.name), length(p.p_name)) // 5)),
         b AS (SELECT name, count(*) AS n, min(p_name) AS invitee FROM (SELECT *, min(d) OVER (PARTITION BY name) AS m FROM d) x WHERE d = m GROUP BY name) SELECT r.name, CASE WHEN n = 1 THEN invitee ELSE r.name END AS snapped, CAST(coalesce(n, 0) AS BIGINT) AS candidates FROM r LEFT JOIN b ON r.name = b.name""",
 }
+_SQL["outcome_table"] = _SQL["outcome_table"].replace("@CLASSIFIED", _SQL["classify_label"])
 ORACLES = {k: duckdb(v).replace("\x01", "{").replace("\x02", "}") for k, v in _SQL.items()}

@@ -169,6 +169,12 @@ _ROUND = _HMS.replace("{s}", "CAST(round(start_ms / 1000) AS BIGINT)")
 _LENGTH = "CASE WHEN d >= 3600 THEN printf('%dh%02dm%02ds', d // 3600, d % 3600 // 60, d % 60) WHEN d >= 60 THEN printf('%dm%02ds', d // 60, d % 60) ELSE printf('%ds', d) END"
 _DOCUMENT = "SELECT session_id, @HEAD || body AS document FROM (SELECT session_id, CAST(round(max(end_ms) / 1000) AS BIGINT) AS d, string_agg(@LINE, '' ORDER BY paragraph) AS body FROM " + _PARAGRAPHS + " p GROUP BY session_id) x"
 _SQL = {
+    "canonical_names": """WITH RECURSIVE n AS (SELECT p_brand, name, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, name) AS rn FROM (SELECT p_brand, unnest([p_name, left(p_name, length(p_name) - 2)]) AS name FROM {part}) a GROUP BY 1, 2),
+        w AS (SELECT p_brand, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS leaders, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS canonical FROM (SELECT DISTINCT p_brand FROM n) u
+          UNION ALL SELECT p_brand, rn, CASE WHEN hit IS NULL THEN list_append(leaders, name) ELSE leaders END, name, coalesce(hit, name)
+          FROM (SELECT n.p_brand, n.rn, n.name, w.leaders, list_filter(w.leaders, lambda l: l = n.name OR least(strlen(l), strlen(n.name)) >= 4 AND (starts_with(l, n.name) OR starts_with(n.name, l)) OR least(strlen(l), strlen(n.name)) >= 5 AND levenshtein(l, n.name) <= greatest(1, greatest(strlen(l), strlen(n.name)) // 8))[1] AS hit
+            FROM w JOIN n ON n.p_brand = w.p_brand AND n.rn = w.rn + 1) a)
+        SELECT p_brand, name, canonical FROM w WHERE rn > 0""",
     "word_tokens": f"SELECT word, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest({_WORDS}) AS word FROM {{documents}}) w WHERE length(word) >= 3 GROUP BY word",
     "text_shift_anchors": """WITH w AS (SELECT *, start_ms + 37000 + w_pos % 3 * 400 AS other FROM {words} w),
         g AS (SELECT session_id, lower(word) || ' ' || lower(lead(word, 1) OVER o) || ' ' || lower(lead(word, 2) OVER o) AS gram, start_ms, other FROM w WINDOW o AS (PARTITION BY session_id ORDER BY pos, w_pos)),
