@@ -1,6 +1,6 @@
 """Interval, point, as-of and nearest joins over time lines that share an equality key.
 
-Times are BIGINT milliseconds. Intervals are half open, [start, end). All joins need a key (`on`); a `bin_ms` further
+Times are BIGINT milliseconds. Intervals are half open, [start, end). All joins need a key (`on`); `bin_ms` further
 divides long time lines into bins that become part of the equality key, so that a hot key does not meet itself whole.
 """
 
@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bins unless said otherwise: ten minutes.
+BIN_MS = 600_000
+
+
 def _first_bin(start: str, bin_ms: int) -> Column:
     return F.floor(F.col(start) / F.lit(bin_ms))
 
@@ -25,26 +29,26 @@ def with_bins(df: DataFrame, start: str, end: str, bin_ms: int, out: str) -> Dat
 def interval_join(left: DataFrame, right: DataFrame, on: Sequence[str], bin_ms: int | None = None, how: str = "inner", left_span: tuple[str, str] = ("start_ms", "end_ms"), right_span: tuple[str, str] = ("r_start_ms", "r_end_ms")) -> DataFrame:
     """Pairs of equal `on` whose spans overlap, with column overlap_ms. Column names must differ but for `on`.
 
-    how: inner, left or left_semi. With bins a pair is kept in the first bin common to both only (inner).
+    how: inner, left or left_semi. A pair is kept in the first bin common to both only. For the other two, equal rows of left
+    are counted as one before they are cut in bins, and are as many again after.
     """
-    (ls, le), (rs, re) = left_span, right_span
-    if bin_ms and how == "inner":
-        lb, rb = with_bins(left, ls, le, bin_ms, "_bin"), with_bins(right, rs, re, bin_ms, "_bin")
-        pairs = lb.join(rb, [*on, "_bin"])
-        pairs = pairs.filter(F.col("_bin") == F.greatest(_first_bin(ls, bin_ms), _first_bin(rs, bin_ms))).drop("_bin")
-        pairs = pairs.filter((F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)))
-    else:
-        r = right
-        for c in on:
-            r = r.withColumnRenamed(c, f"_r_{c}")
-        condition = (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le))
-        for c in on:
-            condition = condition & (F.col(c) == F.col(f"_r_{c}"))
-        pairs = left.join(r, condition, how)
-        if how == "left_semi":
+    (ls, le), (rs, re), bin_ms = left_span, right_span, bin_ms or BIN_MS
+    rb = with_bins(right, rs, re, bin_ms, "_bin")
+    overlaps = (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le))
+    columns = left.columns
+    if how != "left_semi":
+        pairs = with_bins(left, ls, le, bin_ms, "_bin").join(rb, [*on, "_bin"])
+        pairs = pairs.filter((F.col("_bin") == F.greatest(_first_bin(ls, bin_ms), _first_bin(rs, bin_ms))) & overlaps).drop("_bin")
+        pairs = pairs.withColumn("overlap_ms", F.least(F.col(le), F.col(re)) - F.greatest(F.col(ls), F.col(rs)))
+        if how == "inner":
             return pairs
-        pairs = pairs.drop(*[f"_r_{c}" for c in on])
-    return pairs.withColumn("overlap_ms", F.least(F.col(le), F.col(re)) - F.greatest(F.col(ls), F.col(rs)))
+    rows = left.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+    hit = with_bins(rows, ls, le, bin_ms, "_bin").join(rb.select(*on, "_bin", rs, re).distinct(), [*on, "_bin"]).filter(overlaps).select(*[F.col(c).alias(f"_h_{c}") for c in columns]).distinct()
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+    kept = rows.join(hit, same, "left_semi" if how == "left_semi" else "left_anti").withColumn("_copies", F.explode(F.expr("sequence(1, _copies)"))).select(*columns)
+    return kept if how == "left_semi" else pairs.unionByName(kept, allowMissingColumns=True)
 
 
 def point_join(points: DataFrame, spans: DataFrame, on: Sequence[str], at: str, span: tuple[str, str] = ("start_ms", "end_ms"), bin_ms: int = 600_000, how: str = "inner") -> DataFrame:

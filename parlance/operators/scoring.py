@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators.joins import interval_join
 from parlance.operators.matching import match_groups
 
 STEP = 100
@@ -53,8 +54,8 @@ def turns_captured(turns: DataFrame, lines: DataFrame, window_ms: int) -> DataFr
     found: at least half of a turn's words are among those of the lines near it, as multisets; label: that of the first
     line with most of the turn's words, by order of pos.
     """
-    near = turns.select("session_id", "turn_pos", (F.col("start_ms") - window_ms).alias("_a"), (F.col("end_ms") + window_ms).alias("_b"))
-    pairs = near.join(lines, "session_id").filter((F.col("r_end_ms") >= F.col("_a")) & (F.col("r_start_ms") <= F.col("_b")))
+    near = turns.select("session_id", "turn_pos", (F.col("start_ms") - window_ms).alias("_a"), (F.col("end_ms") + window_ms + 1).alias("_b"))
+    pairs = interval_join(near, lines.withColumn("_to", F.col("r_end_ms") + 1), ["session_id"], left_span=("_a", "_b"), right_span=("r_start_ms", "_to"))
     want = numbered_words(turns, ["session_id", "turn_pos"], "text")
     words = pairs.select("session_id", "turn_pos", "pos", "label", F.posexplode(F.split("line_text", " ")).alias("_p", "word"))
     pool = words.withColumn("n", F.row_number().over(Window.partitionBy("session_id", "turn_pos", "word").orderBy("pos", "_p")))

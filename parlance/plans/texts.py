@@ -9,7 +9,7 @@ from parlance.functions import signal, text, timefmt
 from parlance.operators.sequence import fold
 from parlance.plans import timeline
 from parlance.plans.views import duckdb, load
-from parlance.runtime import read_table, ship, small_or_shuffled
+from parlance.runtime import materialize, read_table, ship, small_or_shuffled
 from parlance.sources import transcripts
 
 
@@ -85,14 +85,40 @@ def normalize_words_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the first three words of each benchmark item stand in documents together, and in how many documents.
+    """How often each benchmark item stands in documents word by word, and in how many documents."""
+    items = read_table(spark, sf_dir, "benchmark").select(text.text_words_column(F.col("text")).alias("words")).filter("size(words) > 0").distinct()
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", text.text_words_column(F.col("text")).alias("w"))
+    hits = term_positions(docs, items)
+    return hits.groupBy(F.array_join("words", " ").alias("term")).agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("doc_id").alias("docs"))
 
-    Word grams are equality-joined to the terms, which are few, so no document meets all terms.
+
+#: Words of a term that it is looked up by, and distinct first words that are tested before a gram is made.
+LOOKED_UP, FIRSTS = 3, 10_000
+
+
+def term_positions(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, at, words): where the terms (words: an array, of any length) stand in docs (doc_id, w: an array).
+
+    A term is looked up by its first words: a gram of a document is made only where the first word of a term stands (if those are few
+    enough to test for), joined to the terms that begin so, and the rest compared in place.
     """
-    terms = read_table(spark, sf_dir, "benchmark").select(text.text_words_column(F.col("text")).alias("_w")).select(F.array_join(F.slice("_w", 1, 3), " ").alias("term")).distinct()
-    d = read_table(spark, sf_dir, "documents").select("doc_id", text.text_words_column(F.col("text")).alias("w")).filter("size(w) >= 3")
-    grams = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))).alias("term"))
-    return grams.join(small_or_shuffled(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("doc_id").alias("docs"))
+    t = terms.select("words", F.least(F.size("words"), F.lit(LOOKED_UP)).alias("k"))
+    t = materialize(t.withColumn("gram", F.array_join(F.slice("words", F.lit(1), F.col("k")), " ")), "terms")
+    firsts = [r[0] for r in t.select(F.element_at("words", 1)).distinct().limit(FIRSTS + 1).collect()]
+    longest = t.agg(F.max(F.size("words"))).first()[0] or 1
+    places = F.sequence(F.lit(1), F.size("w"))
+    if len(firsts) <= FIRSTS:
+        places = F.filter(places, lambda i: F.element_at("w", i).isin(firsts))
+    found = None
+    for k in range(1, LOOKED_UP + 1):
+        own = t.filter(F.col("k") == k)
+        grams = F.transform(places, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i, F.lit(k)), " ").alias("gram"), F.slice("w", i, F.lit(longest)).alias("rest")))  # noqa: B023
+        if own.isEmpty():
+            continue
+        x = docs.filter(F.size("w") >= k).select("doc_id", F.explode(grams).alias("g")).select("doc_id", "g.*").join(small_or_shuffled(own), "gram")
+        x = x.filter(F.slice("rest", F.lit(1), F.size("words")) == F.col("words")).select("doc_id", "at", "words")
+        found = x if found is None else found.unionByName(x)
+    return found if found is not None else docs.select("doc_id", F.lit(0).alias("at"), F.col("w").alias("words")).limit(0)
 
 
 def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +209,8 @@ _SQL = {
         m AS (SELECT session_id, count(*) AS anchors, max(inside) AS densest FROM n GROUP BY 1), f AS (SELECT n.session_id, max(anchors) AS anchors, max(densest) AS densest, min(d) AS low FROM n JOIN m ON n.session_id = m.session_id AND inside = densest GROUP BY 1)
         SELECT u.session_id, CAST(max(anchors) AS BIGINT) AS anchors, CAST(max(densest) AS BIGINT) AS densest, CAST(median(d) AS DOUBLE) AS shift FROM u JOIN f ON u.session_id = f.session_id AND d BETWEEN low AND low + 5000 GROUP BY 1""",
     "word_distance": _DISTANCE,
-    "term_hits": f"WITH t AS (SELECT DISTINCT array_to_string(({_WORDS})[:3], ' ') AS term FROM {{benchmark}}), g AS (SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS term FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM {{documents}}) a) b) SELECT g.term, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs FROM g JOIN t ON g.term = t.term GROUP BY g.term",
+    "term_hits": f"""WITH t AS (SELECT DISTINCT {_WORDS} AS words FROM {{benchmark}}), g AS (SELECT doc_id, w, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM {{documents}}) a) b)
+        SELECT array_to_string(words, ' ') AS term, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs FROM g JOIN t ON w[i] = words[1] AND w[i:i + len(words) - 1] = words WHERE len(words) > 0 GROUP BY 1""",
     "export_srt": f"SELECT session_id, string_agg(printf('%d', n) || chr(10) || {_SRT('start_ms')} || ' --> ' || {_SRT('end_ms')} || chr(10) || speaker || ': ' || text || chr(10) || chr(10), '' ORDER BY n) AS document FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS n FROM {{segments}} s) x GROUP BY session_id",
     "export_markdown": _DOCUMENT.replace("@HEAD", f"'# Session ' || session_id || chr(10) || chr(10) || '**Duration:** ' || {_LENGTH} || chr(10) || chr(10)").replace("@LINE", f"'**[' || {_ROUND} || '] ' || speaker || ':** ' || text || chr(10) || chr(10)"),
     "export_text": _DOCUMENT.replace("@HEAD", f"'Session ' || session_id || chr(10) || 'Duration: ' || {_LENGTH} || chr(10) || chr(10)").replace("@LINE", f"'[' || {_ROUND} || '] ' || speaker || ': ' || text || chr(10)"),

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import labels
-from parlance.operators import attribution, joins, matching, sequence
+from parlance.operators import alignment, attribution, joins, matching, sequence
 from parlance.plans.views import duckdb, expand, load
 from parlance.runtime import ship
 
 ALIGN = """
-    WITH shifts AS (SELECT CAST(s AS BIGINT) * 1000 AS shift FROM range(-60, 61) r(s)),
+    WITH shifts AS (SELECT CAST(s AS BIGINT) * 1000 AS shift FROM range(-300, 301) r(s)),
     lines AS (SELECT session_id, role AS speaker, start_ms, end_ms FROM {segments} s),
     ov AS (
       SELECT g.session_id, h.shift, g.speaker, t.name,
@@ -39,8 +39,10 @@ ALIGN = """
 
 
 def align_external_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clock shift of an external transcript by exhaustive search, then a name for each label."""
-    return spark.sql(expand(ALIGN, "spark", sf_dir))
+    """Clock shift of an external transcript, up to five minutes, by exhaustive search, then a name for each label."""
+    lines = load(spark, sf_dir, "segments").select("session_id", F.col("role").alias("speaker"), "start_ms", "end_ms")
+    spans = load(spark, sf_dir, "ext_spans").select("session_id", "name", F.col("start_ms").alias("r_start_ms"), F.col("end_ms").alias("r_end_ms"))
+    return alignment.named_labels(alignment.shifted_overlaps(lines, spans, 300), 300).drop("at_edge")
 
 
 def segments_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
