@@ -244,15 +244,39 @@ def diff_hunks(ref: Sequence[str], hyp: Sequence[str]) -> list[dict]:
 
 
 def locate(ref: Sequence[str], before: Sequence[str], words: Sequence[str], after: Sequence[str], share: float) -> tuple[int, int] | None:
-    """Where words stands between before and after in ref, nearest to share of its length."""
+    """Where words stands between before and after in ref, nearest to share of its length; nothing stands nowhere."""
     whole = [*before, *words, *after]
     at = [i for i in range(len(ref) - len(whole) + 1) if list(ref[i : i + len(whole)]) == whole]
-    if not whole or not at:
+    if not words or not at:
         return None
     best = min(at, key=lambda i: (abs(i - share * len(ref)), i)) + len(before)
     return best, best + len(words)
 
 
+def matched_words(ref: Sequence[str], hyp: Sequence[str]) -> list[bool]:
+    """For each word of ref whether the alignment matches it with an equal one."""
+    out = [False] * len(ref)
+    for k, p in enumerate(alignment(ref, hyp)):
+        if p >= 0 and ref[p] == hyp[k]:
+            out[p] = True
+    return out
+
+
+def score_spots(ref: Sequence[str], hyp: Sequence[str], spots: Sequence[tuple[str, str, str, float]]) -> list[tuple[bool, bool]]:
+    """Per spot (text before, its words, text after, share of the length): whether ref has it, and whether hyp has all its words right."""
+    right, out = matched_words(ref, hyp), []
+    for before, words, after, share in spots:
+        at = locate(ref, normalize_words(before), normalize_words(words), normalize_words(after), share)
+        out.append((at is not None, at is not None and all(right[at[0] : at[1]])))
+    return out
+
+
+def turns_of_words(turns: Sequence[Sequence[str]], hyp: Sequence[str]) -> list[int]:
+    """For each word of hyp the turn (by place) whose word it is matched or substituted with, or -1."""
+    owner = [t for t, words in enumerate(turns) for _ in words]
+    return [owner[p] if p >= 0 else -1 for p in alignment([w for words in turns for w in words], hyp)]
+
+
 def term_hits(ref: Sequence[str], hyp: Sequence[str], terms: Sequence[str]) -> dict[str, tuple[int, int]]:
     """Per term: how often its words follow each other in ref, and how often all of them are matched in hyp.
 

@@ -121,6 +121,41 @@ def term_positions(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return found if found is not None else docs.select("doc_id", F.lit(0).alias("at"), F.col("w").alias("words")).limit(0)
 
 
+def spot_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in lines (their fourth to sixth word, between the two before and the two after) that a later version still has right."""
+    ship(spark)
+
+    def score(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [text.score_spots(text.text_words(r), text.text_words(h), [(b, w, a, s)])[0] for r, h, b, w, a, s in zip(pdf["ref"], pdf["hyp"], pdf["before"], pdf["words"], pdf["after"], pdf["share"])]
+            yield pd.DataFrame({"session_id": pdf["session_id"], "pos": pdf["pos"], "found": [f for f, _ in rows], "fixed": [f for _, f in rows]})
+
+    s = load(spark, sf_dir, "segments").withColumn("w", text.text_words_column(F.col("text"))).filter("size(w) >= 8")
+    # the later version loses every third word that is long, from the session's place on
+    hyp = F.array_join(F.filter("w", lambda x, i: (i + F.col("session_id")) % 5 != 0), " ")
+    part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    x = s.select("session_id", "pos", F.array_join("w", " ").alias("ref"), hyp.alias("hyp"), part(2, 2).alias("before"), part(4, 3).alias("words"), part(7, 2).alias("after"), (F.lit(1) / F.size("w")).alias("share"))
+    return x.mapInPandas(score, "session_id long, pos long, found boolean, fixed boolean")
+
+
+def word_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a session, every seventh replaced and every eleventh lost, given to the turns whose words they are aligned with."""
+    ship(spark)
+
+    def step(pdf):
+        import pandas as pd
+
+        turns = [t.split(" ") for t in pdf["text"]]
+        words = [w for t in turns for w in t]
+        hyp = [("x" if i % 7 == 3 else w) for i, w in enumerate(words) if i % 11 != 5]
+        found = pd.Series(text.turns_of_words(turns, hyp)).value_counts()
+        return pd.DataFrame({"session_id": pdf["session_id"].iloc[0], "pos": pdf["pos"], "words": [int(found.get(k, 0)) for k in range(len(turns))]})
+
+    return fold(load(spark, sf_dir, "segments").select("session_id", "pos", "text"), ["session_id"], ["pos"], step, "session_id long, pos long, words long")
+
+
 def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spellings of part names folded within a brand: most frequent first, each joins the first leader it equals but for an edit or is the beginning of."""
     ship(spark)
@@ -185,7 +220,7 @@ def signal_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("user_id", F.round(signal.level_db(F.col("y")), 4).alias("level"), F.size(F.filter("z", lambda v: v != 0)).cast("long").alias("kept"), signal.has_signal(F.col("y")).alias("signal"))
 
 
-QUERIES = [word_tokens, text_shift_anchors, word_errors, word_distance, diff_hunks, normalize_words_full, term_hits, canonical_names, export_srt, export_markdown, export_text, session_list_prefix, clock_texts, signal_chain]
+QUERIES = [spot_words, word_turns, word_tokens, text_shift_anchors, word_errors, word_distance, diff_hunks, normalize_words_full, term_hits, canonical_names, export_srt, export_markdown, export_text, session_list_prefix, clock_texts, signal_chain]
 
 _WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{Nd}'']+'), lambda w: w <> '')"
 _HMS = "printf('%02d:%02d:%02d', {s} // 3600, {s} % 3600 // 60, {s} % 60)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.vectors import cosine, dot, norm, vector_sum
@@ -136,7 +136,29 @@ def profile_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voices.rename(_contributions(spark, sf_dir), spark.createDataFrame([("L2", "Ann"), ("L4", "Bo")], "name string, new_name string"))
 
 
-QUERIES = [centroids, knn_top1, knn_top2_margin, look_alike_pairs, leave_one_out, absorb_by_voice, similarity_sentinels, complete_linkage, merge_centroids, stable_labels, online_tracker, profile_learn, profile_forget, profile_move, profile_rename]
+def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of the clustering scored end to end: each session is clustered at each pair of threshold and stride, scored by how many
+    fingerprints are in a cluster with the label that most of it has, less what clusters cost; and the worst of a setting's neighbours."""
+    ship(spark)
+    grid = spark.createDataFrame([(t, k) for t in range(60, 121, 10) for k in (1, 2)], "threshold long, stride long")
+    f = load(spark, sf_dir, "fingerprints").select("session_id", "vec_id", "label", "embedding")
+    ranked = F.row_number().over(Window.partitionBy("session_id").orderBy("vec_id")) - 1
+    x = f.withColumn("_r", ranked).join(F.broadcast(grid), F.col("_r") % F.col("stride") == 0).drop("_r")
+
+    def label(v, pdf):
+        return clustering.complete_linkage(v, pdf["threshold"].iloc[0] / 100)
+
+    c = clustering.per_session(x.withColumn("run", F.concat_ws("/", "session_id", "threshold", "stride")), "run", "vec_id", "embedding", label)
+    pure = c.groupBy("threshold", "stride", "session_id", "cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    pure = pure.groupBy("threshold", "stride", "session_id", "cluster").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
+    score = pure.groupBy("threshold", "stride").agg(F.sum("best").alias("right"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("clusters"))
+    score = score.withColumn("score", F.round((F.col("right") - F.col("clusters")) / F.col("rows"), 6))
+    n = score.select(F.col("threshold").alias("t2"), F.col("stride").alias("k2"), F.col("score").alias("s2"))
+    near = (F.abs(F.col("threshold") - F.col("t2")) / 10 + F.abs(F.col("stride") - F.col("k2"))) == 1
+    return score.join(F.broadcast(n), near, "left").groupBy("threshold", "stride", "right", "rows", "clusters", "score").agg(F.min("s2").alias("worst"))
+
+
+QUERIES = [cluster_sweep, centroids, knn_top1, knn_top2_margin, look_alike_pairs, leave_one_out, absorb_by_voice, similarity_sentinels, complete_linkage, merge_centroids, stable_labels, online_tracker, profile_learn, profile_forget, profile_move, profile_rename]
 
 _SUM = "(SELECT label, i, SUM(x) AS s FROM {vector_parts} v WHERE @ GROUP BY label, i)"
 _UNIT = "(SELECT a.label, a.i, a.s / b.n AS x FROM " + _SUM + " a JOIN (SELECT label, sqrt(SUM(s * s)) AS n FROM " + _SUM + " s GROUP BY label) b ON a.label = b.label)"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 _shipped: dict[str, str] = {}
+_written: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -23,6 +26,7 @@ def ship(spark: SparkSession) -> None:
         return
     top = os.path.dirname(os.path.abspath(__file__))
     folder = tempfile.mkdtemp(prefix="parlance-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     target = os.path.join(folder, "parlance.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
         for base, _, names in os.walk(top):
@@ -35,20 +39,34 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and Spark is local (tests).
+
+    On a cluster a folder of the driver's machine would lose tables, so there it must be set.
+    """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="parlance-shared-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the tables that materialize() has written in this application; what was read from them must be done with by then."""
+    configuration = spark._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(configuration).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
     This cuts lineage (a lost executor costs no recomputation of what is above) and keeps the
-    columns prunable for the readers.
+    columns prunable for the readers. clean_up() deletes all such tables.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parlance/{name}-{uuid.uuid4().hex}"
@@ -56,6 +74,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

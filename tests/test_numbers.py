@@ -64,3 +64,17 @@ def test_term_hits_equal_a_plain_search():
             if at and w:
                 want[t] = (len(at), sum(all(i + d in matched for d in range(len(w))) for i in at))
         assert text.term_hits(ref, hyp, terms) == want
+
+
+def test_spots_and_turns_of_words():
+    ref = "so we go to the old house and the old barn".split()
+    hyp = "so we go to an old house and the barn".split()
+    spots = [("to", "the old", "house", 0.3), ("and", "the old", "barn", 0.9), ("", "old house", "", 0.5), ("", "new house", "", 0.5), ("so", "", "we", 0.0)]
+    assert text.score_spots(ref, hyp, spots) == [(True, False), (True, False), (True, True), (False, False), (False, False)]
+    r = random.Random(5)
+    for _ in range(50):
+        turns = [[r.choice("abcd") for _ in range(r.randint(0, 6))] for _ in range(4)]
+        words = [w for t in turns for w in t]
+        assert text.turns_of_words(turns, words) == [k for k, t in enumerate(turns) for _ in t]
+        got = text.turns_of_words(turns, [w for w in words if r.random() < 0.8] + ["z"])
+        assert [g for g in got if g >= 0] == sorted(g for g in got if g >= 0)
