@@ -1,33 +1,32 @@
 """BPE encoding and decoding with a table of distinct words.
 
-1.  Texts are split into the pre-tokenizer's words (Arrow batches). A block of documents (pretoken.BLOCK bytes, or one longer
-    document) keeps its words once, in the order in which they come; a document is a row of places in that list,
-    which take a byte or two each. Both are written to the shared folder.
-2.  The words of all blocks are brought together by word. Each distinct word is encoded once, by the tokenizers library;
-    its ids are joined to the id-to-piece table, and the pieces put together are what it decodes to.
-3.  The distinct words are joined back to where they came from, by word, which gives ids and pieces for each place of
-    a block, and these to the block's documents, by block. So what is shuffled is a row per distinct word of a
-    block and the places, never a row per occurrence; a frequent word has a row per block at most, and no task holds more than a
-    block of documents.
+Texts are split into the pre-tokenizer's words; each distinct word of a block of documents is encoded once by the
+tokenizers library; the ids are joined back by position through the word's place in the table, and decoded through
+the id-to-piece table by another such join. Words repeat so much that the library sees a small part of them.
+
+The tables belong to a block (pretoken.BLOCK bytes of text) of a task's documents and not to the corpus. One table for the
+corpus was built and measured (see README): it has to move the distinct words of every block twice and the places of all
+words once, which is more disk than a run may use. So there is no shuffle at all, memory is bounded by the block, and a lost
+task is simply run again.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import pretoken, textops
-from parlance.runtime import materialize, ship
+from parlance.runtime import ship
 
-#: Words whose ids are put together at once (or those of one longer document), words of a row of a block's list.
-JOINED, LISTED = 400_000, 1 << 16
+#: Words whose ids are joined back at once (or those of one longer document).
+JOINED = 400_000
 
 
 def default_vocabulary() -> str:
@@ -41,78 +40,6 @@ def vocabulary_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-def pack(numbers: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """The lists numbers[offsets[d] : offsets[d + 1]] in bytes of seven bits, lowest first; the last of a number has the eighth bit clear."""
-    numbers = numbers.astype(np.uint64)
-    sizes = 1 + sum((numbers >= np.uint64(1 << s)).astype(np.int64) for s in (7, 14, 21, 28))
-    at = np.zeros(len(numbers) + 1, dtype=np.int64)
-    np.cumsum(sizes, out=at[1:])
-    data = np.empty(at[-1], dtype=np.uint8)
-    for k in range(5):
-        some = sizes > k
-        data[at[:-1][some] + k] = (numbers[some] >> np.uint64(7 * k)).astype(np.uint8) & 127 | ((sizes[some] > k + 1) * 128).astype(np.uint8)
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(at[offsets].astype(np.int32)), pa.py_buffer(data)])
-
-
-def unpack(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all lists, one after another, and the offsets of the lists."""
-    data, at = textops.raw(packed)
-    last = data < 128
-    ends = np.flatnonzero(last) + 1
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    numbers = np.zeros(len(ends), dtype=np.int64)
-    for k in range(5):
-        some = ends - starts > k
-        numbers[some] |= (data[starts[some] + k] & 127).astype(np.int64) << (7 * k)
-    return numbers, np.searchsorted(ends, at, side="right")
-
-
-def splitter(content: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = pretoken.load(content.value)
-        block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for i, j, words, index, at in pretoken.blocks(vocabulary, batch.column("text")):
-                n = j - i
-                columns = {"block": pa.array(np.full(n, block)), "doc_id": batch.column("doc_id")[i:j], "tie": batch.column("tie")[i:j], "places": pack(index, at), "base": pa.nulls(n, pa.int32()), "words": pa.nulls(n, pa.list_(pa.binary()))}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-                base = np.arange(0, len(words), LISTED)
-                n, ends = len(base), np.append(base, len(words))
-                listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words)
-                columns = {"block": pa.array(np.full(n, block)), "doc_id": pa.nulls(n, pa.int64()), "tie": pa.nulls(n, pa.int64()), "places": pa.nulls(n, pa.binary()), "base": pa.array(base.astype(np.int32)), "words": listed}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-                block += 1
-
-    return run
-
-
-def word_encoder(content: Broadcast):
-    """Words to their ids."""
-
-    @F.arrow_udf("array<int>")
-    def encode(words: pa.Array) -> pa.Array:
-        vocabulary = pretoken.load(content.value)
-        run = getattr(vocabulary.tokenizer, "encode_batch_fast", vocabulary.tokenizer.encode_batch)
-        return pa.array([e.ids for e in run([w.decode() for w in words.to_pylist()], add_special_tokens=False)], pa.list_(pa.int32()))
-
-    return encode
-
-
-def distinct_words(words: DataFrame, content: Broadcast) -> DataFrame:
-    """(word, ids, decoded) for each distinct word of words (block, place, word), which are partitioned by word.
-
-    Grouping, encoding and the join to the id-to-piece table (as long as the vocabulary) leave that partitioning as it is.
-    first is read so that the exchange below is that of the join with words as well, and done once.
-    """
-    found = words.groupBy("word").agg(F.min("block").alias("_b"), F.min("place").alias("_p")).filter("_b IS NOT NULL AND _p IS NOT NULL")
-    pieces = list(enumerate(pretoken.load(content.value).pieces_by_id()))
-    table = words.sparkSession.createDataFrame(pieces, "id int, piece binary")
-    each = found.select("word", F.posexplode(word_encoder(content)("word")).alias("at", "id")).join(F.broadcast(table), "id")
-    whole = each.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "id", "piece"))).alias("parts"))
-    joined = F.aggregate("parts.piece", F.lit(b""), lambda a, x: F.concat(a, x))
-    return whole.select("word", F.col("parts.id").alias("ids"), joined.alias("decoded"))
-
-
 def gather(values: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lists values[offsets[w] : offsets[w + 1]] for w in which, one after another, and their offsets."""
     lengths = np.diff(offsets)[which]
@@ -121,10 +48,28 @@ def gather(values: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[
     return values[np.repeat(offsets[which] - out[:-1], lengths) + np.arange(out[-1])], out
 
 
-def texts_of(data: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """data[ends[d] : ends[d + 1]], made valid UTF-8 as the library does (maximal bad parts become U+FFFD)."""
-    raw = data.tobytes()
-    out = [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+def encode_words(vocabulary: pretoken.Vocabulary, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """ids of each distinct word, one after another, and their offsets."""
+    texts = [w.decode() for w in words.to_pylist()]
+    encode = getattr(vocabulary.tokenizer, "encode_batch_fast", vocabulary.tokenizer.encode_batch)
+    ids, lengths = [], []
+    for i in range(0, len(texts), 20_000):
+        found = [e.ids for e in encode(texts[i : i + 20_000], add_special_tokens=False)]
+        lengths += map(len, found)
+        ids.append(np.fromiter(chain.from_iterable(found), dtype=np.uint32))
+    offsets = np.zeros(len(texts) + 1, dtype=np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    return np.concatenate(ids) if ids else np.zeros(0, np.uint32), offsets
+
+
+def decode(pieces: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The bytes of each list of ids, made valid UTF-8 as the library does (maximal bad parts become U+FFFD)."""
+    joined = pieces.take(pa.array(ids.astype(np.int32)))
+    _, at, data = joined.buffers()
+    at = np.frombuffer(at, dtype=np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    raw = memoryview(data)[: int(at[-1])].tobytes() if data is not None else b""
+    ends = at[offsets].tolist()
+    out = [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
     try:
         raw.decode()
     except UnicodeDecodeError:
@@ -132,29 +77,28 @@ def texts_of(data: np.ndarray, ends: np.ndarray) -> list[bytes]:
     return out
 
 
-def assembler(with_ids: bool):
-    """A block's documents and the ids and pieces of its places to the result rows."""
-
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        order = words.column("place").combine_chunks().to_numpy().argsort(kind="stable")
-        lists = words.column("ids").combine_chunks().take(pa.array(order))
-        ids, id_offsets = lists.values.to_numpy().astype(np.uint32), np.asarray(lists.offsets, dtype=np.int64)
-        pieces, piece_offsets = textops.raw(words.column("decoded").combine_chunks().take(pa.array(order)))
-        docs = docs.combine_chunks()
-        places, at = unpack(docs.column("places").combine_chunks())
-        out = []
-        for i, j in textops.chunks(at, JOINED):
-            which, ends = places[at[i] : at[j]], at[i : j + 1] - at[i]
-            mine, id_ends = gather(ids, id_offsets, which)
-            raw, counts = mine.astype("<u4", copy=False).tobytes(), id_ends[ends]
-            decoded, text_ends = gather(pieces, piece_offsets, which)
-            texts = texts_of(decoded, text_ends[ends])
-            shas = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(counts[:-1].tolist(), counts[1:].tolist())]
-            columns = {"doc_id": docs.column("doc_id")[i:j].combine_chunks(), "n_tokens": pa.array(np.diff(counts)), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())}
-            if with_ids:
-                columns |= {"tie": docs.column("tie")[i:j].combine_chunks(), "ids": pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), pa.array(mine.astype(np.int32))), "decoded": pa.array([x.decode() for x in texts], pa.string())}
-            out.append(pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)))
-        return pa.Table.from_batches(out)
+def rows(batch: pa.RecordBatch, pieces: pa.Array, ids: np.ndarray, ends: np.ndarray, with_ids: bool) -> pa.RecordBatch:
+    """The result rows of some documents, from their ids and the offsets of these."""
+    raw = ids.astype("<u4", copy=False).tobytes()
+    shas = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    texts = decode(pieces, ids, ends)
+    columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.diff(ends)), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())}
+    if with_ids:
+        columns |= {"tie": batch.column("tie"), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))), "decoded": pa.array([x.decode() for x in texts], pa.string())}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def encoder(content: Broadcast, with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pretoken.load(content.value)
+        pieces = pa.array(vocabulary.pieces_by_id(), pa.large_binary())
+        for batch in batches:
+            for i, j, words, index, at in pretoken.blocks(vocabulary, batch.column("text")):
+                table, offsets = encode_words(vocabulary, words)
+                for a, b in textops.chunks(at, JOINED):
+                    ids, places = gather(table, offsets, index[at[a] : at[b]])
+                    ends = places[at[a : b + 1] - at[a]]
+                    yield rows(batch.slice(i + a, b - a), pieces, ids, ends, with_ids)
 
     return run
 
@@ -170,11 +114,6 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
     spark = docs.sparkSession
     ship(spark)
     content = spark.sparkContext.broadcast(vocabulary_bytes(path))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    table = materialize(source.mapInArrow(splitter(content), "block long, doc_id long, tie long, places binary, base int, words array<binary>"), "bpe-blocks")
-    listed = table.filter("words IS NOT NULL").select("block", "base", F.posexplode("words").alias("_at", "word"))
-    words = listed.select("block", (F.col("base") + F.col("_at")).alias("place"), "word").repartition("word")
-    known = words.join(distinct_words(words, content), "word").select(F.col("block").alias("of"), "place", "ids", "decoded")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tie long, ids array<int>, decoded string" * with_ids
-    places = table.filter("places IS NOT NULL").select("block", "doc_id", "tie", "places")
-    return places.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(assembler(with_ids), schema)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), "text"] + [F.xxhash64("text").alias("tie")] * with_ids
+    return docs.select(*columns).mapInArrow(encoder(content, with_ids), schema)
