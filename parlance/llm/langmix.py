@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.llm import textops
 from parlance.runtime import packed, ship
@@ -214,27 +215,48 @@ def infer(model: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.
     return best, score, shares
 
 
+def judged(model: tuple[list[str], np.ndarray], text: pa.Array, letter: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For rows [i, j): the place of the predicted language (-1 if unknown), score and proportions."""
+    languages, table = model
+    data, offsets = textops.utf8(text)
+    has = letter.to_numpy(zero_copy_only=False).astype(bool)
+    for i, j in textops.chunks(offsets, max(1 << 16, textops.CHUNK * 4 // max(8, len(languages)))):
+        best, score, shares = infer(table, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        best[~has[i:j]] = -1
+        yield i, j, best, np.where(best >= 0, score, 0.0), shares
+
+
 def predictor(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, table = model.value
+        languages, _ = model.value
         for batch in batches:
-            data, offsets = textops.utf8(batch.column("text"))
-            letter = batch.column("has_letter").to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in textops.chunks(offsets, max(1 << 16, textops.CHUNK * 8 // max(8, len(languages)))):
-                best, score, shares = infer(table, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                best[~letter[i:j]] = -1
+            for i, j, best, score, shares in judged(model.value, batch.column("text"), batch.column("has_letter")):
                 names = [languages[b] if b >= 0 else UNKNOWN for b in best.tolist()]
-                mixture = [{x: float(p) for x, p in zip(languages, row) if p > 0} if b >= 0 else {} for b, row in zip(best.tolist(), shares)]
+                mixture = [[(x, float(p)) for x, p in zip(languages, row) if p > 0] if b >= 0 else [] for b, row in zip(best.tolist(), shares)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[i:j], batch.column("tie")[i:j], pa.array(names, pa.string()), pa.array(np.where(best >= 0, score, 0.0)), pa.array([list(m.items()) for m in mixture], pa.map_(pa.string(), pa.float64()))],
-                    names=["doc_id", "tie", "lang_pred", "score", "mixture"],
+                    [batch.column("doc_id")[i:j], pa.array(names, pa.string()), pa.array(score), pa.array(mixture, pa.map_(pa.string(), pa.float64()))],
+                    names=["doc_id", "lang_pred", "score", "mixture"],
                 )
 
     return run
 
 
+def keeper(model: Broadcast, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("_row")
+            for i, j, best, score, _ in judged(model.value, rows.field("text"), batch.column("has_letter")):
+                yield batch.select(["_row"]).slice(i, j - i).filter(pa.array((best >= 0) & (score >= least)))
+
+    return run
+
+
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, tie (xxhash64 of the text), lang_pred, score (0 to 1), mixture.
+    """One row per row of docs (doc_id, text): doc_id, lang_pred, score (0 to 1), mixture.
 
     lang_pred is 'und' with score 0 and an empty mixture if the text is null or has no letter, or if no language was
     learnt. Only the text decides, not its neighbours in a batch. A null doc_id stays null; a very long text is fitted
@@ -242,8 +264,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
-    return source.mapInArrow(predictor(spark.sparkContext.broadcast(model)), "doc_id long, tie long, lang_pred string, score double, mixture map<string, double>")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", has_letter(F.col("text")).alias("has_letter"))
+    return source.mapInArrow(predictor(spark.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double, mixture map<string, double>")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -255,10 +277,10 @@ def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of docs (doc_id, text, lang, ...) whose language is known: predicted, and at least `least` of the text.
 
     Rows whose text is null or has no letter go, as do all where no language can be learnt (an empty table stays
-    empty). Repeated rows stay or go together, those with null doc_id by their text. All columns are returned, whatever
-    their names.
+    empty). Repeated rows stay or go together. All columns are returned, whatever their names: rows pass through as they
+    are, so nothing is shuffled.
     """
-    known = predict(docs, learn(docs.filter(~held_out(F.col("doc_id"))))).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    known = known.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).dropDuplicates()
-    x = packed(docs).withColumn("_t", F.xxhash64("_row.text"))
-    return x.join(known, F.col("_row.doc_id").eqNullSafe(known["_id"]) & (x["_t"] == known["_tie"]), "left_semi").select("_row.*")
+    spark = docs.sparkSession
+    model = spark.sparkContext.broadcast(learn(docs.filter(~held_out(F.col("doc_id")))))
+    rows = packed(docs).withColumn("has_letter", has_letter(F.col("_row.text")))
+    return rows.mapInArrow(keeper(model, least), T.StructType([T.StructField("_row", docs.schema)])).select("_row.*")
