@@ -45,21 +45,12 @@ STAGES = [("language", language), ("near_copies", near_copies), ("passages", pas
 ORACLE_SQL = None
 
 
-#: Rows that pass to Python at once: whole documents, in all stages one after another, so fewer than Spark's default.
-ARROW_ROWS, ARROW_SETTING = 2500, "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir: an empty table gives an empty result."""
+    """All stages over the documents of sf_dir; an empty table gives an empty result."""
     docs = read_table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/parlance/pipeline-{uuid.uuid4().hex}"
-    before = spark.conf.get(ARROW_SETTING)
-    spark.conf.set(ARROW_SETTING, min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS)
-    try:
-        for k, (name, stage) in enumerate(STAGES):
-            path = f"{folder}/{k}-{name}"
-            stage(spark, docs, sf_dir).write.parquet(path)
-            docs = spark.read.parquet(path)
-    finally:
-        spark.conf.set(ARROW_SETTING, before)
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
