@@ -15,7 +15,8 @@ def shifted_overlaps(lines: DataFrame, spans: DataFrame, most: int, step: int =
     r_start_ms, r_end_ms) that are moved by each of the shifts -most to most, in steps; without those where they do not.
 
     The overlap of a line and a span rises, stays and falls as the shift grows: four corners tell its course. Their sums at or
-    before a shift give the overlap there, so a pair costs four rows and not one for each shift at which it overlaps.
+    before a shift give the overlap there, so a pair costs four rows and not one for each shift at which it overlaps, and
+    only a label and a name have one for each shift.
     """
     wide = spans.withColumn("_from", F.col("r_start_ms") - most * step).withColumn("_to", F.col("r_end_ms") + most * step)
     pairs = interval_join(lines, wide, ["session_id"], right_span=("_from", "_to"))
@@ -25,20 +26,21 @@ def shifted_overlaps(lines: DataFrame, spans: DataFrame, most: int, step: int =
     x = pairs.select("session_id", "speaker", "name", F.explode(corners).alias("c")).withColumn("k", F.greatest(F.ceil(F.col("c.at") / step), F.lit(-most)).cast("long")).filter(F.col("k") <= most)
     keys = ["session_id", "speaker", "name"]
     sums = x.groupBy(*keys, "k").agg(F.sum("c.sign").alias("n"), F.sum(F.col("c.sign") * F.col("c.at")).alias("s"))
-    every = sums.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(-most).cast("long"), F.lit(most).cast("long"))).alias("k"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"))
-    dense = sums.unionByName(every).groupBy(*keys, "k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    w = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    shift = F.col("k") * step
-    ms = shift * F.sum("n").over(w) - F.sum("s").over(w)
-    return dense.select(*keys, shift.alias("shift"), ms.cast("long").alias("ms")).filter("ms > 0")
+    w = Window.partitionBy(*keys).orderBy("k")
+    total = lambda c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    course = sums.select(*keys, "k", total("n").alias("n"), total("s").alias("s"), F.coalesce(F.lead("k").over(w) - 1, F.lit(most)).alias("to")).filter("n <> 0 OR s <> 0")
+    x = course.select(*keys, "n", "s", F.explode(F.sequence("k", "to")).alias("k")).withColumn("shift", F.col("k") * step)
+    return x.select(*keys, "shift", (F.col("shift") * F.col("n") - F.col("s")).cast("long").alias("ms")).filter("ms > 0")
 
 
-def best_shift(overlaps: DataFrame) -> DataFrame:
-    """(session_id, shift): that at which most time agrees, each speaker with the name of most overlap; of equals the smallest, then
-    the later one."""
-    best = overlaps.groupBy("session_id", "shift", "speaker").agg(F.max("ms").alias("ms")).groupBy("session_id", "shift").agg(F.sum("ms").alias("agreement"))
-    top = best.groupBy("session_id").agg(F.max(F.struct("agreement", (-F.abs("shift")).alias("near"), "shift")).alias("_b"))
-    return top.select("session_id", "_b.shift")
+def at_best_shift(overlaps: DataFrame) -> DataFrame:
+    """overlaps at each session's best shift: that at which most time agrees, each speaker with the name of most overlap; of equals the
+    smallest, then the later one. What belongs to a shift, a row for each label and name, goes along with its agreement."""
+    per = overlaps.groupBy("session_id", "shift", "speaker").agg(F.max("ms").alias("best"), F.collect_list(F.struct("name", "ms")).alias("names"))
+    per = per.groupBy("session_id", "shift").agg(F.sum("best").alias("agreement"), F.collect_list(F.struct("speaker", "names")).alias("rows"))
+    top = per.groupBy("session_id").agg(F.max(F.struct("agreement", (-F.abs("shift")).alias("near"), "shift", "rows")).alias("_b"))
+    x = top.select("session_id", "_b.shift", F.explode("_b.rows").alias("r"))
+    return x.select("session_id", "shift", "r.speaker", F.explode("r.names").alias("n")).select("session_id", "shift", "speaker", "n.name", "n.ms")
 
 
 def named_labels(overlaps: DataFrame, most: int, step: int = STEP) -> DataFrame:
@@ -47,7 +49,7 @@ def named_labels(overlaps: DataFrame, most: int, step: int = STEP) -> DataFrame:
     outcome: 'proposed', or why not: half a minute in common, three fifths of the speaker's overlap, and twice the next name's are
     needed; a name of several speakers also four fifths. at_edge: the best shift is the largest tried, so a larger one may be better.
     """
-    x = overlaps.join(best_shift(overlaps), ["session_id", "shift"])
+    x = at_best_shift(overlaps)
     own = Window.partitionBy("session_id", "speaker")
     order = own.orderBy(F.col("ms").desc(), "name")
     x = x.withColumn("total_ms", F.sum("ms").over(own)).withColumn("_second", F.coalesce(F.lead("ms").over(order), F.lit(0))).withColumn("_r", F.row_number().over(order)).filter("_r = 1")
