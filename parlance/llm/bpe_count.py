@@ -129,7 +129,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Counts are those of the tokenizers library for the json file at path, without added special tokens; special
-    strings within a text count one. A null text counts as empty. Repeated rows repeat; other columns are not read.
+    strings within a text count one. A null text counts as empty, a null doc_id stays null, a very long text is a block of its
+    own, whole. Repeated rows repeat; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)

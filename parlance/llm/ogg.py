@@ -226,7 +226,8 @@ def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; with_media: also media, the file.
 
     The payload is the text's UTF-8, padded (a null text counts as empty: 64 bytes 0); the digests are of what is read
-    back from the stored form. Equal texts give equal values, whatever their doc_id. Other columns are not read.
+    back from the stored form. Equal texts give equal values, whatever their doc_id; a null doc_id stays null.
+    A very long text is stored whole, by one task. An empty table gives an empty result. Other columns are not read.
     """
     ship(docs.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * with_media

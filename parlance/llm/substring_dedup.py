@@ -154,7 +154,12 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, spans (null: whole or untouched)."""
+    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, spans (null: whole or untouched).
+
+    A null text has no words. A row with null doc_id loses nothing, and nothing is a repeat of it. Rows of one doc_id are not
+    repeats of each other; equal rows get equal results. Texts of any length are compared whole; one text is one task's. An
+    empty table gives an empty result. Other columns are not read.
+    """
     rows, cuts = repeats(docs)
     cuts = cuts.select("doc_id", "tie", "n_removed", F.sha2("kept_text", 256).alias("kept_sha"), "spans")
     none = F.lit(hashlib.sha256(b"").hexdigest())
@@ -169,7 +174,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without the repeated passages. Rows of which something is cut have their kept words joined by one space
-    (and n_chars counted anew); rows of which all is cut go; the others are untouched."""
+    (and n_chars counted anew); rows of which all is cut go; the others are untouched, null texts and rows with null doc_id
+    among them. Equal rows are cut alike. All columns are returned, whatever their names."""
     rows, cuts = repeats(docs)
     change = rows.filter("whole").select("doc_id", "tie", F.lit(None).cast("string").alias("kept_text")).unionByName(cuts.select("doc_id", "tie", "kept_text"))
     change = change.dropDuplicates(["doc_id", "tie"]).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("kept_text").alias("_kept"), F.lit(True).alias("_cut"))
