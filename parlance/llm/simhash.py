@@ -118,7 +118,8 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         rest = F.lit(-1) if first_key is None else first_key
         first_key = F.when(count == 0, F.lit(64 + first)).when(count == 1, place).otherwise(rest)
     fits = (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.bit_count(diff) <= max_bits) & (number == first_key)
-    return x.join(y, fits).select("a", "b")
+    # by a shuffle: the planner takes the 67 keys of a row for one, and would broadcast millions of rows as a few MB
+    return x.join(y.hint("merge"), fits).select("a", "b")
 
 
 def components(edges: DataFrame, name: str = "simhash", most: int = 60) -> DataFrame:

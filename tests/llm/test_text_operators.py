@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from parlance.llm import bpe_codec, bpe_count, host_rules, ogg, pretoken, simhash, substring_dedup, textops
+from parlance.runtime import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -122,6 +124,13 @@ def test_links_of_close_fingerprints(spark):
     assert got == want and len(simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()) == len(want)
 
 
+def test_links_are_not_broadcast(spark):
+    """The index has 67 rows a fingerprint, of which the planner knows nothing: a small table of fingerprints is a large index."""
+    prints = materialize(spark.range(5000).select(F.xxhash64("id").alias("fp")), "test-prints")
+    plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(1, 40) if x != 7] + [(300, 201), (201, 250)]
     got = {x["node"]: x["component"] for x in simhash.components(spark.createDataFrame(edges, "u long, v long"), "test").collect()}
