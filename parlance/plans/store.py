@@ -84,10 +84,10 @@ def session_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = s.select(F.col("session_id").alias("session"), writer.alias("writer"), F.when(F.col("session_id") % 3 == 0, F.concat(F.lit("  Plan\n of "), F.col("session_id").cast("string"))).otherwise(" ").alias("subject"))
     given = s.filter("session_id % 5 <> 0").select(F.col("session_id").alias("session"), F.lit(WRITERS[0]).alias("writer"), F.repeat(F.concat(F.lit("T"), F.col("session_id").cast("string"), F.lit(" ")), 150).alias("title"))
     for name, table in (("calendar", entries), ("title", given)):
-        # a folder a session and kind, as files cannot be named: session=<id>/calendar...
-        table.withColumn("kind", F.lit(name)).write.mode("append").partitionBy("session", "kind").json(folder)
-    x = spark.read.schema("writer string, subject string, title string").option("basePath", folder).json(f"{folder}/session=*/kind=*")
-    return sessions.subjects(x.withColumnRenamed("session", "_session").withColumn("session", F.col("_session").cast("string")), WRITERS)
+        # a folder a kind, with the session in the rows: a folder a session would be as many files as there are sessions
+        table.withColumn("session", F.col("session").cast("string")).withColumn("kind", F.lit(name)).write.mode("append").partitionBy("kind").json(folder)
+    x = spark.read.schema("session string, writer string, subject string, title string").option("basePath", folder).json(f"{folder}/kind=*")
+    return sessions.subjects(x, WRITERS)
 
 
 def looks_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import types as T
 
+from parlance.plans import store
 from parlance.sources import sessions, settings, stores
 
 
@@ -90,3 +91,14 @@ def test_subjects_and_spots(spark, tmp_path):
     assert {r["session"]: r["subject"] for r in sessions.read_subjects(spark, str(tmp_path), ["w"]).collect()} == {"a": "Plan A", "b": "Talk"}
     (tmp_path / "spots.jsonl").write_text('{"words": "so be it", "pos": 0.5}\nbroken\n{"before": "x"}\n')
     assert [r["words"] for r in sessions.read_spots(spark, f"{tmp_path}/spots.jsonl").collect()] == ["so be it"]
+
+
+def test_subjects_are_not_a_file_a_session(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    rows = [(i, 0, "user", f"text {i}") for i in range(400)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "in/conversations.parquet"))
+    monkeypatch.setattr(store, "_folder", lambda spark: str(tmp_path / "written"))
+    got = {x["session"]: x["subject"] for x in store.session_subjects(spark, str(tmp_path / "in")).collect()}
+    title = lambda i: (f"T{i} " * 150)[:300].strip()
+    want = {str(i): f"Plan of {i}" if i % 3 == 0 and i % 7 != 6 else title(i) for i in range(400) if i % 3 == 0 and i % 7 != 6 or i % 5}
+    assert got == want and len(list((tmp_path / "written").rglob("*.json"))) < 100
