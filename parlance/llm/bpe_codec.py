@@ -116,4 +116,4 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
     content = spark.sparkContext.broadcast(vocabulary_bytes(path))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tie long, ids array<int>, decoded string" * with_ids
     columns = [F.col("doc_id").cast("long").alias("doc_id"), "text"] + [F.xxhash64("text").alias("tie")] * with_ids
-    return docs.select(*columns).mapInArrow(encoder(content, with_ids), schema)
+    return docs.select(*columns).mapInArrow(textops.released(encoder(content, with_ids)), schema)

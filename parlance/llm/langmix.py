@@ -112,7 +112,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, seed: int = 4) -> tuple[list[st
         return [], np.zeros((0, size), np.float32)
     limits = spark.createDataFrame([(lang, int(min(1.0, sample / n) * (1 << 31))) for lang, n in sizes.items()], "lang string, _limit long")
     taken = known.join(F.broadcast(limits), "lang").filter("_h < _limit").select("lang", "text")
-    table = taken.mapInArrow(counter(size), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    table = taken.mapInArrow(textops.released(counter(size)), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(sizes)
     place = {x: i for i, x in enumerate(languages)}
     codes = table.column("lang").combine_chunks().dictionary_encode()
@@ -283,4 +283,4 @@ def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(learn(docs.filter(~held_out(F.col("doc_id")))))
     rows = packed(docs).withColumn("has_letter", has_letter(F.col("_row.text")))
-    return rows.mapInArrow(keeper(model, least), T.StructType([T.StructField("_row", docs.schema)])).select("_row.*")
+    return rows.mapInArrow(textops.released(keeper(model, least)), T.StructType([T.StructField("_row", docs.schema)])).select("_row.*")

@@ -62,13 +62,12 @@ def scan(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE, seed: int =
     digest = xxhash.xxh64_intdigest
     for batch in batches:
         data, offsets = textops.utf8(batch.column("text"))
-        raw = data.tobytes()
         out = np.zeros(len(batch), dtype=np.uint64)
         seen: dict[bytes, int] = {}
         at = offsets.tolist()
         for d in range(len(batch)):
-            text = raw[at[d] : at[d + 1]]
-            key = text if len(text) < 4096 else xxhash.xxh3_128_digest(text)
+            text = data[at[d] : at[d + 1]].tobytes()
+            key = text if len(text) < 64 else xxhash.xxh3_128_digest(text)
             if key in seen:
                 out[d] = seen[key]
                 continue
@@ -163,7 +162,7 @@ def cluster(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """
     ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = materialize(source.mapInArrow(scan, "doc_id long, fp long"), "simhash-prints")
+    prints = materialize(source.mapInArrow(textops.released(scan), "doc_id long, fp long"), "simhash-prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     pairs = materialize(links(nodes.select("fp"), max_bits), "simhash-links")
     name = nodes.select("fp", F.coalesce("node", F.lit((1 << 63) - 1)).alias("node"))

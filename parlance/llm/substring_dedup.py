@@ -131,7 +131,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
-    scanned = materialize(source.mapInArrow(scan, "doc_id long, tie long, n_words long, sha string, anchors array<bigint>"), "repeat-anchors")
+    scanned = materialize(source.mapInArrow(textops.released(scan), "doc_id long, tie long, n_words long, sha string, anchors array<bigint>"), "repeat-anchors")
     # written first, so that the join's sides are dealt anew and a large group of copies can be split over tasks
     first = scanned.filter(f"n_words >= {LENGTH}").groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("b")).filter("first_id < b").drop("b")
     first = materialize(first, "repeat-copies")
@@ -145,12 +145,12 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = source.join(flagged.join(alone, "doc_id"), ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"])
     texts = materialize(texts.select("doc_id", "tie", "text", "anchors"), "repeat-texts")
 
-    windows = materialize(texts.select("doc_id", "text", "anchors").mapInArrow(extend, "anchor long, window long, doc_id long"), "repeat-windows")
+    windows = materialize(texts.select("doc_id", "text", "anchors").mapInArrow(textops.released(extend), "anchor long, window long, doc_id long"), "repeat-windows")
     owners = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("b")).filter("owner < b").drop("b")
     later = windows.join(owners, ["anchor", "window"]).filter("doc_id > owner").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
     cuts = texts.select("doc_id", "tie", "text").join(later, "doc_id").select("doc_id", "text", "tie", "windows")
     schema = "doc_id long, tie long, n_removed long, kept_text string, spans array<struct<start: bigint, length: bigint>>"
-    return rows, materialize(cuts.mapInArrow(cut, schema).filter("n_removed > 0"), "repeat-cuts")
+    return rows, materialize(cuts.mapInArrow(textops.released(cut), schema).filter("n_removed > 0"), "repeat-cuts")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
